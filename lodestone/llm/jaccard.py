@@ -9,8 +9,9 @@ Chosen paths: in each of `RUNS` runs every set starts at a root. At a node it ta
 0.8 share one child per node on average, so they meet at depth two of one run with probability 0.47 and, over all runs, with 0.999;
 unlike sets part at once. Nodes at depth `DEPTH` are buckets. Buckets of up to `SMALL` sets are compared by brute
 force. Larger ones are split further, down to `DEEPEST`; what is still large then (groups of copies that share nearly every
-token) is dealt out in parts, where every set is compared with the part's leaders (sets that no earlier leader resembles)
-and then the leaders of all parts with each other. So a group of m copies gives a number of links in proportion to m.
+token) is dealt out in parts, where every set is compared with the part's leaders (sets that no earlier leader surely
+resembles) and then the leaders of all parts with each other. So a group of m close copies gives links in proportion to m,
+enough to connect it, and n_links counts these; in groups of up to SMALL texts all links are found and counted.
 
 Pairs whose estimated similarity is at least `LIKELY` are checked exactly on the shingle sets of the whole texts; those of 0.8 or more
 are the links. Classes connected by links form a group (minimum labels with pointer jumping; tables in the
@@ -36,7 +37,7 @@ from . import _vec as V
 from ._spark import fresh, on_row, staged, table
 
 THRESHOLD, WIDTH = 0.8, 5
-COORDINATES, RUNS, DEPTH, DEEPEST, SMALL, PARTS, LIKELY = 128, 12, 2, 4, 32, 16, 0.66
+COORDINATES, RUNS, DEPTH, DEEPEST, SMALL, PARTS, LIKELY, SURE = 128, 12, 2, 4, 64, 16, 0.66, 0.87
 U = np.uint64
 
 
@@ -116,27 +117,49 @@ def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 def compared(buckets: DataFrame, everything: bool) -> DataFrame:
     """Pairs (a, b), a < b, that are likely links. buckets: node, part, class, sketch.
 
-    everything: all pairs of a bucket; else each set with the leaders of its (node, part). Rows come sorted by bucket,
-    one at a time; only leaders, or the sets of a small bucket, are held."""
+    everything: all pairs of a bucket whose estimate is at least LIKELY. Else each set of a (node, part), in an order hashed
+    anew for every node, meets its leaders: of those that are surely alike (SURE) it is linked to one in each
+    connected component, which become one; of the others that may be alike it is paired with those outside that component;
+    and it becomes a leader itself if none was surely alike. Rows come sorted by bucket, one at a time; only leaders,
+    or the sets of a small bucket, are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, names, held, many = None, [], np.empty((0, COORDINATES), np.uint16), 0
+        bucket, names, root, held, many = None, [], [], np.empty((0, COORDINATES), np.uint16), 0
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
         for batch in batches:
             a, b, lead = [], [], []
             values = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, COORDINATES)
             for i, (node, part, name) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
                 if (node, part) != bucket:
-                    bucket, names, many = (node, part), [], 0
-                near = np.flatnonzero(alike(values[i], held[:many]) >= LIKELY).tolist() if many else []
+                    bucket, names, root, many = (node, part), [], [], 0
+                score = alike(values[i], held[:many]) if many else np.empty(0)
+                near = np.flatnonzero(score >= LIKELY).tolist()
+                leads = everything
+                if not everything and near:
+                    sure: dict[int, int] = {}
+                    for k in near:
+                        if score[k] >= SURE:
+                            sure.setdefault(find(k), k)
+                    near = list(sure.values()) + [k for k in near if score[k] < SURE and find(k) not in sure]
+                    for r in sure:
+                        root[r] = next(iter(sure))
+                    leads = not sure
                 for k in near:
                     a.append(min(name, names[k]))
                     b.append(max(name, names[k]))
                     lead.append(False)
-                if everything or not near:
+                if leads or not near:
                     if many == len(held):
                         held = np.concatenate([held, np.zeros((max(64, many), COORDINATES), np.uint16)])
                     held[many] = values[i]
                     names.append(name)
+                    root.append(many)
                     many += 1
                     if not everything:
                         a.append(name), b.append(node), lead.append(True)
@@ -144,7 +167,7 @@ def compared(buckets: DataFrame, everything: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lead)], ["a", "b", "lead"])
 
     rows = buckets.select("node", "part", "class", "sketch")
-    return rows.repartition("node", "part").sortWithinPartitions("node", "part", "class").mapInArrow(run, "a long, b long, lead boolean")
+    return rows.repartition("node", "part").sortWithinPartitions("node", "part", F.xxhash64("node", "class")).mapInArrow(run, "a long, b long, lead boolean")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
