@@ -163,7 +163,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
             d = table_[every, every]
             r, c = row[:classes], column[:classes]
             gain += phi(d + r + c + self_) - phi(d) - (phi(d + r) - phi(d)) - (phi(d + c) - phi(d))
-            left, right = table_.sum(1)[:classes], table_.sum(0)[:classes]
+            # Margins hold the other items' bigrams with w, wherever it goes.
+            left, right = (table_.sum(1) + column)[:classes], (table_.sum(0) + row)[:classes]
             gain -= phi(left + row.sum() + self_) - phi(left) + phi(right + column.sum() + self_) - phi(right)
             new = int(gain.argmax())
             if gain[old] >= gain[new]:
@@ -205,7 +206,8 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     of = exchange(bigrams)
     move, emit = transitions(bigrams, of)
     # Words of each signature that aren't items by themselves.
-    tail = counts.where(~F.col("h").isin([int(x) for x in head.view(np.int64)]) if len(head) else F.lit(True))
+    is_head = F.col("h").isin([int(x) for x in head.view(np.int64)])
+    tail = counts.where(~is_head)
     per = {r["signature"]: (int(r["n"]), int(r["v"])) for r in tail.groupBy("signature").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     ones, twos = int(facts["ones"] or 0), int(facts["twos"] or 0)
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
@@ -217,8 +219,9 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         if have + r["count"] > TABLE:
             break
         have, least = have + r["count"], r["step"]
-    common = counts.where(F.floor(F.log2("n") * 4) >= least).select("h", "n").toArrow() if least is not None else None
-    ch, cn = (common["h"].to_numpy().view(U), common["n"].to_numpy()) if common is not None else (np.empty(0, U), np.empty(0, np.int64))
+    frequent = F.floor(F.log2("n") * 4) >= (least if least is not None else 1 << 30)
+    common = counts.where(frequent | is_head).select("h", "n").toArrow()
+    ch, cn = common["h"].to_numpy().view(U), common["n"].to_numpy()
     order = np.argsort(ch)
     shared = spark.sparkContext.broadcast({"h": ch[order], "n": cn[order], "head": np.sort(head), "to": np.argsort(head).astype(np.int64), "of": of, "move": move, "emit": emit, "mass": mass})
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, signature int, n long"
@@ -262,7 +265,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([rid.take(pa.array(doc[rest])), *nulls, pa.array(h[rest].view(np.int64)), pa.array(s[rest]), pa.array(times)], [x.split()[0] for x in schema.split(", ")])
 
     parts = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(run, schema)
-    rare = counts.where(F.floor(F.log2("n") * 4) < (least if least is not None else 1 << 30)).select(F.col("h").alias("key"), F.col("n").alias("c"))
+    rare = counts.where(~(frequent | is_head)).select(F.col("h").alias("key"), F.col("n").alias("c"))
     joined = parts.join(rare, parts["h"] == rare["key"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     by_signature = F.array(*[F.struct(F.lit(float(x)).alias("seen"), F.lit(float(y)).alias("v")) for x, y in mass])
     sig = F.get(by_signature, F.col("signature"))
