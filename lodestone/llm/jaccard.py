@@ -8,10 +8,10 @@ Chosen paths: in each of `RUNS` runs every set starts at a root. At a node it ta
 1 / (0.8 * COORDINATES), decided by a hash of node and token alone, and goes on to one child for each. Two sets of similarity
 0.8 share one child per node on average, so they meet at depth two of one run with probability 0.47 and, over all runs, with 0.999;
 unlike sets part at once. Nodes at depth `DEPTH` are buckets. Buckets of up to `SMALL` sets are compared by brute
-force. Larger ones are split further, down to `DEEPEST`; what is still large then (groups of copies that share nearly every
+force, pair by pair. Larger ones are split further, down to `DEEPEST`; what is still large then (groups of copies that share nearly every
 token) is dealt out in parts, where every set is compared with the part's leaders (sets that no earlier leader surely
 resembles) and then the leaders of all parts with each other. So a group of m close copies gives links in proportion to m,
-enough to connect it, and n_links counts these; in groups of up to SMALL texts all links are found and counted.
+enough to connect it, and n_links counts these; in groups of up to SMALL texts all links that a run finds are counted.
 
 Pairs whose estimated similarity is at least `LIKELY` are checked exactly on the shingle sets of the whole texts; those of 0.8 or more
 are the links. Classes connected by links form a group (minimum labels with pointer jumping; tables in the
@@ -37,7 +37,7 @@ from . import _vec as V
 from ._spark import fresh, on_row, staged, table
 
 THRESHOLD, WIDTH = 0.8, 5
-COORDINATES, RUNS, DEPTH, DEEPEST, SMALL, PARTS, LIKELY, SURE = 128, 12, 2, 4, 64, 16, 0.66, 0.87
+COORDINATES, RUNS, DEPTH, DEEPEST, SMALL, PARTS, LIKELY, SURE = 128, 12, 2, 4, 64, 16, 0.72, 0.8
 U = np.uint64
 
 
@@ -120,7 +120,7 @@ def compared(buckets: DataFrame, everything: bool) -> DataFrame:
     everything: all pairs of a bucket whose estimate is at least LIKELY. Else each set of a (node, part), in an order hashed
     anew for every node, meets its leaders: of those that are surely alike (SURE) it is linked to one in each
     connected component, which become one; of the others that may be alike it is paired with those outside that component;
-    and it becomes a leader itself if none was surely alike. Rows come sorted by bucket, one at a time; only leaders,
+    and it becomes a leader itself if none was surely alike. Leaders are told (lead) unless part is negative. Rows come sorted by bucket, one at a time; only leaders,
     or the sets of a small bucket, are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def compared(buckets: DataFrame, everything: bool) -> DataFrame:
                     names.append(name)
                     root.append(many)
                     many += 1
-                    if not everything:
+                    if not everything and part >= 0:
                         a.append(name), b.append(node), lead.append(True)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lead)], ["a", "b", "lead"])
@@ -176,16 +176,19 @@ def candidates(classes: DataFrame) -> DataFrame:
     while True:
         sizes = leaves.groupBy("node").count().where("count > 1")
         shared = staged(leaves.join(sizes, "node").join(classes, "class"), "buckets")
-        found.append(compared(shared.where(F.col("count") <= SMALL).withColumn("part", F.lit(0)), True))
+        # Buckets that split off a large one belong to a large group, where links need only connect it.
+        found.append(compared(shared.where(F.col("count") <= SMALL).withColumn("part", F.lit(-1)), depth == DEPTH).where("not lead"))
         large = shared.where(F.col("count") > SMALL)
         if large.isEmpty():
             break
         if depth == DEEPEST:
-            parts = large.withColumn("part", F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.least(F.lit(PARTS), F.col("count") / 256)).cast("int")))
+            several = F.least(F.lit(PARTS), F.floor(F.col("count") / 256)).cast("int")
+            parts = large.withColumn("part", F.when(several < 2, -1).otherwise(F.pmod(F.xxhash64("class"), F.greatest(several, F.lit(1)))).cast("int"))
             first = staged(compared(parts, False), "leaders")
             found.append(first.where("not lead"))
-            leaders = first.where("lead").select(F.col("a").alias("class"), F.col("b").alias("node")).join(classes, "class").withColumn("part", F.lit(0))
-            found.append(compared(leaders, False).where("not lead"))
+            # Only buckets of several parts have leaders to compare; in the others all have met.
+            leaders = first.where("lead").select(F.col("a").alias("class"), F.col("b").alias("node")).join(classes, "class").withColumn("part", F.lit(-1))
+            found.append(compared(leaders, False))
             break
         leaves, depth = staged(paths(large.select("class", "sketch", "node"), 1), "paths"), depth + 1
     out = found[0].select("a", "b")
