@@ -39,7 +39,7 @@ def both(spark, sf_dir: str, query, sql: str) -> tuple[list, list]:
 if __name__ == "__main__":
     sys.path.insert(0, ".")
     import __spark_entry__ as entry
-    from conftest import session
+    from tests.conftest import session
 
     spark = session()
     queries, oracle = entry.queries(), entry.oracle_sql()
