@@ -7,7 +7,11 @@ buffer, each document followed by a line feed. Chunks are bounded in bytes and d
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 CHUNK_BYTES, CHUNK_DOCS = 1 << 21, 2000
@@ -19,6 +23,26 @@ INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives memory that the allocators keep back to the system: workers outlive their tasks, and other stages' would add up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def released(kernel):
+    """A kernel over record batches that gives memory back when its task ends."""
+
+    @functools.wraps(kernel)
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection whose bits all depend on all input bits."""
     x = x ^ (x >> U(30))

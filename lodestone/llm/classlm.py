@@ -96,7 +96,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if keys:
             yield flush()
 
-    got = texts.mapInArrow(run, "h long, signature int, n long")
+    got = texts.mapInArrow(V.released(run), "h long, signature int, n long")
     return got.groupBy("h").agg(F.first("signature").alias("signature"), F.sum("n").alias("n"))
 
 
@@ -117,7 +117,7 @@ def item_bigrams(texts: DataFrame, head: np.ndarray) -> np.ndarray:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(matrix[at])], ["cell", "n"])
 
-    got = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(V.released(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((BEGIN + 1) ** 2)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(BEGIN + 1, BEGIN + 1)
@@ -264,7 +264,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
                     nulls = [pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                     yield pa.RecordBatch.from_arrays([rid.take(pa.array(doc[rest])), *nulls, pa.array(h[rest].view(np.int64)), pa.array(s[rest]), pa.array(times)], [x.split()[0] for x in schema.split(", ")])
 
-    parts = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(run, schema)
+    parts = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(V.released(run), schema)
     rare = counts.where(~(frequent | is_head)).select(F.col("h").alias("key"), F.col("n").alias("c"))
     joined = parts.join(rare, parts["h"] == rare["key"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     by_signature = F.array(*[F.struct(F.lit(float(x)).alias("seen"), F.lit(float(y)).alias("v")) for x, y in mass])

@@ -121,7 +121,7 @@ def compare_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> Da
         yield from emit(waiting)
 
     rows = neighbours(docs)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, schema)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(V.released(run), schema)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(V.released(run), schema)
 
 
 def children(node: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def paths(frame: DataFrame, levels: int) -> DataFrame:
                     row = row[at]
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column(0).take(pa.array(row))], ["node", "class"])
 
-    return frame.select("class", "sketch", *([] if rooted else ["node"])).mapInArrow(run, "node long, class long").distinct()
+    return frame.select("class", "sketch", *([] if rooted else ["node"])).mapInArrow(V.released(run), "node long, class long").distinct()
 
 
 def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def compared(buckets: DataFrame, everything: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lead)], ["a", "b", "lead"])
 
     rows = buckets.select("node", "part", "class", "sketch")
-    return rows.repartition("node", "part").sortWithinPartitions("node", "part", F.xxhash64("node", "class")).mapInArrow(run, "a long, b long, lead boolean")
+    return rows.repartition("node", "part").sortWithinPartitions("node", "part", F.xxhash64("node", "class")).mapInArrow(V.released(run), "a long, b long, lead boolean")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a")
     both = one.join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(V.released(run), "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -227,6 +227,7 @@ def predicted(spark: SparkSession, model: Identifier):
                 lang[have[a:b]] = got
                 for column, values in zip(columns, rest, strict=True):
                     column[have[a:b]] = values
+            V.release()
             out["lang"], out["score"], out["cross_entropy"], out["rejected"] = lang, *columns
             yield out
 

@@ -79,7 +79,7 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
-    runs = staged(texts.mapInArrow(run, schema), "line-runs")
+    runs = staged(texts.mapInArrow(V.released(run), schema), "line-runs")
     often = runs.where("lead").groupBy("fingerprint").count().where("count > 1").select("fingerprint")
     near = runs.join(often, "fingerprint")
     place = F.struct("doc_id", "text_hash", "begin")

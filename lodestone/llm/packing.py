@@ -214,6 +214,7 @@ def packed(docs: DataFrame, path: str | None = None, room: int = SIZE, group_row
                 for column, value in zip(rows, (d, s, n, zlib.crc32(ids[d][s : s + n].tobytes()), len(ids[d]), (number << 32) + k, offset), strict=True):
                     column.append(value)
                 offset += n
+        V.release()
         columns = [names.take(pa.array(rows[0], pa.int64()))] + [pa.array(r, pa.int64()) for r in rows[1:]]
         return pa.table(columns, [x.split()[0] for x in schema.split(", ")])
 

@@ -94,7 +94,7 @@ def all_anchors(texts: DataFrame) -> DataFrame:
                 owner = np.array([p[0] for p in parts[i:j]], np.int64)[piece]
                 yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column(0).take(pa.array(owner)), pa.array(place)], ["gram", "text_key", "place"])
 
-    return texts.mapInArrow(run, "gram long, text_key long, place long")
+    return texts.mapInArrow(V.released(run), "gram long, text_key long, place long")
 
 
 def merged(places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def cells(texts: DataFrame) -> DataFrame:
             if rows:
                 yield flush()
 
-    return texts.select("text_key", "many", "places", "text").mapInArrow(run, schema)
+    return texts.select("text_key", "many", "places", "text").mapInArrow(V.released(run), schema)
 
 
 def strings(texts: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def strings(texts: DataFrame) -> DataFrame:
                     owner = pa.array(np.full(len(start), i))
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.first(start, start + LENGTH)), pa.array(hashes.second(start, start + LENGTH)), batch.column(0).take(owner), pa.array(start), pa.array(weight)], [x.split()[0] for x in schema.split(", ")])
 
-    return texts.select("text_key", "wanted", "text").mapInArrow(run, schema)
+    return texts.select("text_key", "wanted", "text").mapInArrow(V.released(run), schema)
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def without_repeated(docs: DataFrame) -> DataFrame:
     gone = staged(repeated_starts(docs), "spans")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("k"), F.col("text").cast("binary").alias("text"))
     joined = rows.join(gone, rows["k"] == gone["text_key"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(V.released(run), schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
