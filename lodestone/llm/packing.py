@@ -30,7 +30,7 @@ from ._spark import table
 
 SIZE, END, GROUP_ROWS = 2048, 1, 2000
 FAST = 0x0250  # code points below are split with numpy
-CACHE = 1 << 20  # distinct pre-tokens that a worker remembers
+CACHE = 1 << 18  # distinct pre-tokens that a worker remembers
 U = np.uint64
 _encoders: dict[str, Encoder] = {}  # noqa: F821  one per Python worker and file
 
@@ -72,7 +72,7 @@ class Encoder:
                 fast.append(i)
             else:
                 out[i] = np.array(self.slow.encode(t, add_special_tokens=False).ids, np.uint32)
-        for a, b in V.spans([len(texts[i]) for i in fast], 1 << 19):
+        for a, b in V.spans([len(texts[i]) for i in fast], 1 << 18):
             for i, ids in zip(fast[a:b], self._fast([texts[i] for i in fast[a:b]]), strict=True):
                 out[i] = ids
         return out
