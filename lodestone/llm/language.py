@@ -14,7 +14,7 @@ a text of its length and (at least `LEAST_EXCESS` nats per character) outright;
 (prediction 'und', score 0).
 
 Cases: rows without a language aren't trained on but predicted; if nothing can be learned, all predictions are
-'und'. Equal texts get equal predictions. An empty table gives no rows.
+'und'. Rows without a doc_id aren't trained on. Equal texts get equal predictions. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from ._spark import crc_mod, fresh, table
 
 ORDER, TRAIN_ROWS, SLACK, LEAST_EXCESS = 4, 400, 1.5, 1.0
 FOLDS = 5
+#: Shares of a language in which rows are ranked before the best of all shares are.
+SALTS = 64
 U = np.uint64
 _letters: list[np.ndarray] = []
 
@@ -199,14 +201,23 @@ class Identifier:
 
 
 def fitted(docs: DataFrame, train: Column, rows: int = TRAIN_ROWS) -> Identifier:
-    """Fits on at most `rows` rows per language among those where `train` holds, chosen by hash of the id: whole texts."""
-    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = known.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= rows).select("doc_id", "lang").distinct()
-    got = docs.where(train).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropna(subset=["text"])
+    """Fits on at most `rows` rows per language among those where `train` holds, chosen by hash of the id: whole texts.
+
+    Rows are ranked within `SALTS` shares of each language first, so that no task meets more than SALTS * rows of one language
+    at the end, however common it is. Rows equal in id, language and text are taken once.
+    """
+    h, doc_hash = F.xxhash64("doc_id"), F.xxhash64("text")
+    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", h.alias("h"), doc_hash.alias("t"))
+    known = known.withColumn("salt", F.pmod(F.xxhash64("h", "t"), F.lit(SALTS)))
+    best = known
+    for keys in (("lang", "salt"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id", "t"))
+        best = best.withColumn("r", rank).where(F.col("r") <= rows).drop("r")
+    chosen = best.select("doc_id", "lang", "t").distinct()
+    got = docs.where(train).select("doc_id", "lang", "text", doc_hash.alias("t")).join(F.broadcast(chosen), ["doc_id", "lang", "t"], "left_semi")
     samples: dict[str, list[str]] = {}
-    for r in sorted(got.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if len(samples.setdefault(r["lang"], [])) < rows:
-            samples[r["lang"]].append(r["text"])
+    for r in sorted(got.groupBy("doc_id", "lang", "t").agg(F.first("text").alias("text")).collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+        samples.setdefault(r["lang"], []).append(r["text"])
     return Identifier(samples)
 
 

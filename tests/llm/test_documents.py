@@ -78,6 +78,19 @@ def test_language(spark, sf):
     assert np.mean([docs[r["doc_id"]]["lang"] == r["lang_pred"] for r in held]) > 0.95
 
 
+def test_language_sample_is_the_least_by_hash_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "Identifier", lambda samples: samples)
+    monkeypatch.setattr(language, "SALTS", 4)
+    data = [(i, "xy"[i % 3 == 0], f"text {i}") for i in range(300)] + [(None, "x", "no id"), (1, None, "no lang"), (2, "x", None)]
+    docs = spark.createDataFrame(data, "doc_id long, lang string, text string")
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = {k: {t for _, t in sorted((hashes[i], t) for i, lang, t in data if i is not None and lang == k and t)[:20]} for k in "xy"}
+    got = language.fitted(docs, F.lit(True), 20)
+    assert {k: set(v) for k, v in got.items()} == want and all(len(v) == 20 for v in got.values())
+    copies = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x").alias("lang"), F.lit("one text").alias("text"))
+    assert language.fitted(copies, F.lit(True), 20) == {"x": ["one text"]}
+
+
 def test_kneser_ney_sums_to_one():
     m = language.KneserNey(["abab abba", "baab"], 6)
     context = "ab"
