@@ -34,7 +34,7 @@ from ._spark import crc_mod, fresh, table
 ORDER, TRAIN_ROWS, SLACK, LEAST_EXCESS = 4, 400, 1.5, 1.0
 FOLDS = 5
 #: Shares of a language in which rows are ranked before the best of all shares are.
-SALTS = 64
+SALTS = 16
 U = np.uint64
 _letters: list[np.ndarray] = []
 
