@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -162,6 +163,25 @@ def test_links_of_close_copies_grow_in_proportion(spark, monkeypatch):
     assert found[1] < 3 * found[0]
 
 
+def test_jaccard_join_checks_pairs_that_the_estimate_puts_low(spark):
+    """Pairs just above 0.8 whose 128-bin estimate is below 0.72 are still candidates."""
+    rng, low = random.Random(12), []
+    while len(low) < 3:
+        pairs = []
+        for _ in range(100):
+            w = words(rng, 300, 5000).split()
+            v = list(w)
+            for at in range(5, 300, 50):
+                v[at] = f"new{rng.randrange(10**6)}"
+            pairs += [" ".join(w), " ".join(v)]
+        sketch = {r["doc_id"]: np.frombuffer(r["sketch"], "<u2") for r in rows(jaccard.signatures(spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")))}
+        low += [(pairs[i], pairs[i + 1]) for i in range(0, 200, 2) if 0.67 <= (sketch[i] == sketch[i + 1]).mean() < 0.72]
+    assert all(similarity(*map(shingle_set, p)) >= 0.8 for p in low)
+    docs = [(i, t) for i, t in enumerate(t for p in low for t in p)]
+    signed = jaccard.signatures(spark.createDataFrame(docs, "doc_id long, text string")).select(F.lit(1).cast("long").alias("node"), F.lit(-1).alias("part"), "class", "sketch")
+    assert jaccard.compared(signed, True).count() == len(low)
+
+
 def test_jaccard_edges(spark):
     got = rows(jaccard.grouped(edge(spark)))
     assert len(got) == len(edge_rows()) and not rows(jaccard.grouped(empty(spark)))
