@@ -8,12 +8,13 @@ Chosen paths: in each of `RUNS` runs every set starts at a root. At a node it ta
 1 / (0.8 * COORDINATES), decided by a hash of node and token alone, and goes on to one child for each. Two sets of similarity
 0.8 share one child per node on average, so they meet at depth two of one run with probability 0.47 and, over all runs, with 0.999;
 unlike sets part at once. Nodes at depth `DEPTH` are buckets. Buckets of up to `SMALL` sets are compared by brute
-force, pair by pair. Larger ones are split further, down to `DEEPEST`; what is still large then (groups of copies that share nearly every
-token) is dealt out in parts, where every set is compared with the part's leaders (sets that no earlier leader surely
-resembles) and then the leaders of all parts with each other. So a group of m close copies gives links in proportion to m,
-enough to connect it, and n_links counts these; in groups of up to SMALL texts all links that a run finds are counted.
+force, pair by pair. Larger ones are split further, down to `DEEPEST`; in what is still large then (groups of copies that share nearly
+every token) shingle sets are compared exactly until each set outside the largest component has met all others, in pairs of blocks
+where there are more than 2 * `BLOCK`. Only exact links join components. The links told of a large bucket are those that connect it,
+so that m close copies give links in proportion to m; op10 then compares all sets of each group with each other, again in blocks,
+and counts all links (`complete`), a work that grows with the square of a group's size while the rows grow with the group.
 
-Pairs whose estimated similarity is at least `LIKELY` are checked exactly on the shingle sets of the whole texts; those of 0.8 or more
+Pairs of small buckets whose estimated similarity is at least `LIKELY` are checked exactly on the shingle sets of the whole texts; those of 0.8 or more
 are the links. The estimate is the same in all runs: a pair of similarity 0.8 falls below `LIKELY` with probability 0.0001 (binomial, 128
 coordinates), which the recall of 0.999 includes. Classes connected by links form a group (minimum labels with pointer jumping; tables in the
 shared folder, nothing at the driver but counts).
@@ -38,7 +39,7 @@ from . import _vec as V
 from ._spark import fresh, on_row, staged, table
 
 THRESHOLD, WIDTH = 0.8, 5
-COORDINATES, RUNS, DEPTH, DEEPEST, SMALL, PARTS, LIKELY, SURE = 128, 12, 2, 4, 64, 16, 0.66, 0.87
+COORDINATES, RUNS, DEPTH, DEEPEST, SMALL, BLOCK, LIKELY = 128, 12, 2, 4, 64, 2048, 0.66
 U = np.uint64
 
 
@@ -111,91 +112,160 @@ def paths(frame: DataFrame, levels: int) -> DataFrame:
     return frame.select("class", "sketch", *([] if rooted else ["node"])).mapInArrow(V.released(run), "node long, class long").distinct()
 
 
-def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return (many == one).mean(axis=1)
-
-
-def compared(buckets: DataFrame, everything: bool) -> DataFrame:
-    """Pairs (a, b), a < b, that are likely links. buckets: node, part, class, sketch.
-
-    everything: all pairs of a bucket whose estimate is at least LIKELY. Else each set of a (node, part), in an order hashed
-    anew for every node, meets its leaders: of those that are surely alike (SURE) it is linked to one in each
-    connected component, which become one; of the others that may be alike it is paired with those outside that component;
-    and it becomes a leader itself if none was surely alike. Leaders are told (lead) unless part is negative. Rows come sorted by bucket, one at a time; only leaders,
-    or the sets of a small bucket, are held."""
+def compared(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of a bucket whose estimate is at least LIKELY. buckets: node, class, sketch. Rows come sorted
+    by bucket, and only one bucket is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, names, root, held, many = None, [], [], np.empty((0, COORDINATES), np.uint16), 0
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
+        bucket, names, held, many = None, [], np.empty((SMALL, COORDINATES), np.uint16), 0
         for batch in batches:
-            a, b, lead = [], [], []
-            values = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, COORDINATES)
-            for i, (node, part, name) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                if (node, part) != bucket:
-                    bucket, names, root, many = (node, part), [], [], 0
-                score = alike(values[i], held[:many]) if many else np.empty(0)
-                near = np.flatnonzero(score >= LIKELY).tolist()
-                leads = everything
-                if not everything and near:
-                    sure: dict[int, int] = {}
-                    for k in near:
-                        if score[k] >= SURE:
-                            sure.setdefault(find(k), k)
-                    near = list(sure.values()) + [k for k in near if score[k] < SURE and find(k) not in sure]
-                    for r in sure:
-                        root[r] = next(iter(sure))
-                    leads = not sure
-                for k in near:
+            a, b = [], []
+            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, COORDINATES)
+            for i, (node, name) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)):
+                if node != bucket:
+                    bucket, names, many = node, [], 0
+                for k in np.flatnonzero((held[:many] == values[i]).mean(axis=1) >= LIKELY).tolist() if many else ():
                     a.append(min(name, names[k]))
                     b.append(max(name, names[k]))
-                    lead.append(False)
-                if leads or not near:
-                    if many == len(held):
-                        held = np.concatenate([held, np.zeros((max(64, many), COORDINATES), np.uint16)])
-                    held[many] = values[i]
-                    names.append(name)
-                    root.append(many)
-                    many += 1
-                    if not everything and part >= 0:
-                        a.append(name), b.append(node), lead.append(True)
+                if many == len(held):
+                    held = np.concatenate([held, np.empty_like(held)])
+                held[many] = values[i]
+                names.append(name)
+                many += 1
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lead)], ["a", "b", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = buckets.select("node", "class", "sketch")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(V.released(run), "a long, b long")
+
+
+class Sets:
+    """Shingle sets side by side. like() compares some of them with all, exactly: shingles of many sets are counted by a product of
+    matrices, others by the lists of the sets that have them."""
+
+    MATRIX = 1 << 24
+
+    def __init__(self, texts: list[bytes], kind: np.ndarray | None = None):
+        """kind: a number for each set; those of different numbers have nothing in common."""
+        self.n = n = len(texts)
+        hashes, docs = [], []
+        for a, b in V.spans([len(t) for t in texts], max_docs=1000):
+            h, doc = distinct_shingles(texts[a:b])
+            hashes.append(h if kind is None else V.mix(h + V.mix(kind[a:b].astype(U) + U(1))[doc]))
+            docs.append(doc + a)
+        h, doc = np.concatenate(hashes), np.concatenate(docs)
+        self.size = np.bincount(doc, minlength=n)
+        _, token, count = np.unique(h, return_inverse=True, return_counts=True)
+        most = np.argsort(-count, kind="stable")[: self.MATRIX // n]
+        most = most[count[most] > max(1, n / 16)]
+        column = np.full(len(count), -1)
+        column[most] = np.arange(len(most))
+        at = column[token]
+        self.matrix = np.zeros((n, len(most)), np.float32)
+        self.matrix[doc[at >= 0], at[at >= 0]] = 1
+        rare = (at < 0) & (count[token] > 1)
+        self.token, doc = token[rare], doc[rare]
+        self.begin = np.searchsorted(doc, np.arange(n + 1))
+        order = np.argsort(self.token, kind="stable")
+        self.having, self.first = doc[order], np.searchsorted(self.token[order], np.arange(len(count) + 1))
+
+    def like(self, rows: np.ndarray) -> np.ndarray:
+        """rows x n: which sets have a similarity of THRESHOLD or more with each of the rows (itself not)."""
+        common = self.matrix[rows] @ self.matrix.T
+        for k, r in enumerate(rows):
+            t = self.token[self.begin[r] : self.begin[r + 1]]
+            length = self.first[t + 1] - self.first[t]
+            at = np.repeat(self.first[t] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            common[k] += np.bincount(self.having[at], minlength=self.n)
+        out = common >= THRESHOLD * (self.size[rows][:, None] + self.size - common.astype(np.float64)) - 1e-9
+        out[np.arange(len(rows)), rows] = False
+        return out
+
+    def connecting(self) -> list[tuple[int, int]]:
+        """Links that connect whatever all links connect. In the end each set outside the largest component has met all sets."""
+        label, met, out, many = np.arange(self.n), np.zeros(self.n, bool), [], 16
+        while len(rows := np.flatnonzero(~met & (label != np.argmax(np.bincount(label))))[:many]):
+            for x, like in zip(rows.tolist(), self.like(rows), strict=True):
+                near = np.flatnonzero(like & (label != label[x]))
+                if len(near):
+                    other, k = np.unique(label[near], return_index=True)
+                    out += [(x, y) for y in near[k].tolist()]
+                    label[np.isin(label, other)] = label[x]
+            met[rows] = True
+            many = min(256, 2 * many)
+        return out
+
+
+def dealt(sets: DataFrame, key: str, count: str) -> DataFrame:
+    """sets with columns block, i and j: groups of the key of more than 2 * BLOCK sets are dealt into blocks, and each set goes to all
+    pairs of blocks i <= j that have its own."""
+    blocks = F.when(F.col(count) <= 2 * BLOCK, 1).otherwise(F.ceil(F.col(count) / BLOCK)).cast("int")
+    out = sets.withColumn("block", F.pmod(F.xxhash64(key, "class"), blocks).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("k")
+
+
+def connecting(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact links (a, b), a < b, that connect what all links within the buckets connect. buckets: node, class, count; texts: class, text."""
 
-    rows = buckets.select("node", "part", "class", "sketch")
-    return rows.repartition("node", "part").sortWithinPartitions("node", "part", F.xxhash64("node", "class")).mapInArrow(V.released(run), "a long, b long, lead boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, held, _, _ in gathered(batches, 1):
+            pairs = [sorted((names[x], names[y])) for x, y in Sets(held).connecting()]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    # Pairs of different blocks bring the sets of both, which meet among themselves too; blocks need no pair of their own then.
+    rows = dealt(buckets, "node", "count").where(f"i < j OR count <= {2 * BLOCK}").join(texts, "class").select("node", "i", "j", "block", "class", "text")
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(V.released(run), "a long, b long")
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct likely pairs (a, b) of classes. classes: class, sketch."""
+
+def degrees(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class, n_links): the number of all links of each class within its group. groups: label, class, count; texts: class, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, held, kind, block in gathered(batches, 512):
+            sets, n = Sets(held, kind), np.zeros(len(held), np.int64)
+            # Within a pair of different blocks only sets of different ones are counted.
+            both = np.array([len(np.unique(block[kind == k])) > 1 for k in range(kind[-1] + 1)])[kind]
+            for a in range(0, len(held), 256):
+                at = np.arange(a, min(a + 256, len(held)))
+                n[at] = (sets.like(at) & (~both[at][:, None] | (block[at][:, None] != block))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n)], ["class", "n"])
+
+    rows = dealt(groups, "label", "count").join(texts, "class").select("label", "i", "j", "block", "class", "text")
+    counted = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(V.released(run), "class long, n long")
+    return counted.groupBy("class").agg(F.sum("n").alias("n_links"))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[bytes], np.ndarray, np.ndarray]]:
+    """(classes, texts, number of the key, block) of one key (the first three columns) after the other, of several until they have `least` sets."""
+    last, names, held, kind, block = None, [], [], [], []
+    for batch in batches:
+        for *key, own, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != last:
+                if len(names) >= least:
+                    yield names, held, np.array(kind), np.array(block)
+                    names, held, kind, block = [], [], [], []
+                last, number = key, kind[-1] + 1 if kind else 0
+            names.append(name), held.append(text), kind.append(number), block.append(own)
+    if names:
+        yield names, held, np.array(kind), np.array(block)
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct likely pairs (a, b) of classes that met in a small bucket, and the large buckets (node, class, count). classes: class, sketch."""
     leaves, depth, found = staged(paths(classes, DEPTH), "paths"), DEPTH, []
     while True:
         sizes = leaves.groupBy("node").count().where("count > 1")
         shared = staged(leaves.join(sizes, "node").join(classes, "class"), "buckets")
-        # Buckets that split off a large one belong to a large group, where links need only connect it.
-        found.append(compared(shared.where(F.col("count") <= SMALL).withColumn("part", F.lit(-1)), depth == DEPTH).where("not lead"))
+        found.append(compared(shared.where(F.col("count") <= SMALL)))
         large = shared.where(F.col("count") > SMALL)
-        if large.isEmpty():
-            break
-        if depth == DEEPEST:
-            several = F.least(F.lit(PARTS), F.floor(F.col("count") / 256)).cast("int")
-            parts = large.withColumn("part", F.when(several < 2, -1).otherwise(F.pmod(F.xxhash64("class"), F.greatest(several, F.lit(1)))).cast("int"))
-            first = staged(compared(parts, False), "leaders")
-            found.append(first.where("not lead"))
-            # Only buckets of several parts have leaders to compare; in the others all have met.
-            leaders = first.where("lead").select(F.col("a").alias("class"), F.col("b").alias("node")).join(classes, "class").withColumn("part", F.lit(-1))
-            found.append(compared(leaders, False))
+        if depth == DEEPEST or large.isEmpty():
             break
         leaves, depth = staged(paths(large.select("class", "sketch", "node"), 1), "paths"), depth + 1
-    out = found[0].select("a", "b")
+    out = found[0]
     for more in found[1:]:
-        out = out.unionByName(more.select("a", "b"))
-    return out.distinct()
+        out = out.unionByName(more)
+    return out.distinct(), large.select("node", "class", "count")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -233,23 +303,29 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links, n_copies, first): one row per document; first marks the one that stays of its group."""
+def grouped(docs: DataFrame, complete: bool = False) -> DataFrame:
+    """(doc_id, text_hash, class_id, n_links, n_copies, first): one row per document; first marks the one that stays of its group.
+
+    complete: n_links counts all links of each class in its group, not only those found in small buckets and those that connect large ones."""
     rows = staged(signatures(docs), "signatures")
     known = rows.where(F.col("class").isNotNull())
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
     classes = known.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n_copies"))
     classes = staged(classes, "classes")
     sketches = staged(known.groupBy("class").agg(F.first("sketch").alias("sketch")), "sketches")
-    pairs = staged(candidates(sketches), "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    pairs, large = candidates(sketches)
+    pairs = staged(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(large.select("class")).distinct()
     wanted = wanted.join(classes, "class").select("class", F.col("place.doc_id").alias("wid"), F.col("place.text_hash").alias("wh"))
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     texts = staged(source.join(wanted, on_row(source, wanted, "doc_id", "text_hash", "wid", "wh")).select("class", "text"), "texts")
     texts = texts.groupBy("class").agg(F.first("text").alias("text")) if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() else texts
-    links = staged(verified(pairs, texts), "links")
+    links = staged(verified(pairs, texts).unionByName(connecting(large, texts)).distinct(), "links")
     labels = connected(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    if complete:
+        degree = degrees(labels.join(labels.groupBy("label").count(), "label"), texts)
+    else:
+        degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     info = classes.join(labels, "class", "left").join(degree, "class", "left").withColumn("label", F.coalesce("label", "class")).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     info = staged(info, "info")
     groups = info.groupBy("label").agg(F.min("least").alias("class_id"), F.min("place").alias("stays"))
@@ -261,7 +337,7 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+    return grouped(table(spark, sf_dir, "documents"), complete=True).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

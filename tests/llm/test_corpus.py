@@ -178,8 +178,42 @@ def test_jaccard_join_checks_pairs_that_the_estimate_puts_low(spark):
         low += [(pairs[i], pairs[i + 1]) for i in range(0, 200, 2) if 0.67 <= (sketch[i] == sketch[i + 1]).mean() < 0.72]
     assert all(similarity(*map(shingle_set, p)) >= 0.8 for p in low)
     docs = [(i, t) for i, t in enumerate(t for p in low for t in p)]
-    signed = jaccard.signatures(spark.createDataFrame(docs, "doc_id long, text string")).select(F.lit(1).cast("long").alias("node"), F.lit(-1).alias("part"), "class", "sketch")
-    assert jaccard.compared(signed, True).count() == len(low)
+    signed = jaccard.signatures(spark.createDataFrame(docs, "doc_id long, text string")).select(F.lit(1).cast("long").alias("node"), "class", "sketch")
+    assert jaccard.compared(signed).count() == len(low)
+
+
+def test_all_links_and_groups_of_large_buckets(spark, monkeypatch):
+    """Close copies and loose chains: every link counts and every group is whole, also where buckets and groups go in blocks."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(6)
+    base = words(rng, 300, 5000).split()
+    docs = [" ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in range(60)]
+    step = words(rng, 300, 5000).split()
+    for i in range(40):  # each resembles the next few only
+        step[(i * 37) % 300] = f"step{i}"
+        step[(i * 53 + 11) % 300] = f"more{i}"
+        docs.append(" ".join(step))
+    docs = list(enumerate(docs + near_copies(rng, 3, 3)))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in rows(jaccard.grouped(spark.createDataFrame(docs, "doc_id long, text string"), complete=True))}
+    assert got == groups_model(docs)
+
+
+def test_sets_connect_what_all_links_connect():
+    rng = random.Random(8)
+    texts = near_copies(rng, 4, 30) + [words(rng, 60, 50) for _ in range(20)]
+    whole = jaccard.Sets([t.encode() for t in texts])
+    sets = [shingle_set(t) for t in texts]
+    want = np.array([[i != j and similarity(x, y) >= 0.8 - 1e-9 for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    assert (whole.like(np.arange(len(texts))) == want).all()
+
+    def components(pairs):
+        label = list(range(len(texts)))
+        for x, y in pairs:
+            label = [label[x] if v == label[y] else v for v in label]
+        return {frozenset(i for i, v in enumerate(label) if v == k) for k in label}
+
+    assert components(whole.connecting()) == components(zip(*np.nonzero(want), strict=True))
 
 
 def test_jaccard_edges(spark):
