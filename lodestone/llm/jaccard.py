@@ -8,8 +8,8 @@ Chosen paths: in each of `RUNS` runs every set starts at a root. At a node it ta
 1 / (0.8 * COORDINATES), decided by a hash of node and token alone, and goes on to one child for each. Two sets of similarity
 0.8 share one child per node on average, so they meet at depth two of one run with probability 0.47 and, over all runs, with 0.999;
 unlike sets part at once. Nodes at depth `DEPTH` are buckets. Buckets of up to `SMALL` sets are compared by brute
-force, pair by pair. Larger ones are split further, down to `DEEPEST`; in what is still large then (groups of copies that share nearly
-every token) shingle sets are compared exactly until each set outside the largest component has met all others, in pairs of blocks
+force, pair by pair. In larger ones (mostly groups of copies that share nearly every token), which aren't split further as each split
+would lose pairs, shingle sets are compared exactly until each set outside the largest component has met all others, in pairs of blocks
 where there are more than 2 * `BLOCK`. Only exact links join components. The links told of a large bucket are those that connect it,
 so that m close copies give links in proportion to m; op10 then compares all sets of each group with each other, again in blocks,
 and counts all links (`complete`), a work that grows with the square of a group's size while the rows grow with the group.
@@ -39,7 +39,7 @@ from . import _vec as V
 from ._spark import fresh, on_row, staged, table
 
 THRESHOLD, WIDTH = 0.8, 5
-COORDINATES, RUNS, DEPTH, DEEPEST, SMALL, BLOCK, LIKELY = 128, 12, 2, 4, 64, 2048, 0.66
+COORDINATES, RUNS, DEPTH, SMALL, BLOCK, LIKELY = 128, 12, 2, 64, 2048, 0.66
 U = np.uint64
 
 
@@ -93,8 +93,7 @@ def tokens(sketches: list[bytes]) -> np.ndarray:
 
 
 def paths(frame: DataFrame, levels: int) -> DataFrame:
-    """(node, class): `levels` levels below each row's node. frame: class, sketch and, unless the root is meant, node."""
-    rooted = "node" not in frame.columns
+    """(node, class): the nodes `levels` levels below the roots of all runs. frame: class, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = V.seeds(RUNS, 77)
@@ -102,14 +101,13 @@ def paths(frame: DataFrame, levels: int) -> DataFrame:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 token = tokens(part.column(1).to_pylist())
-                row = np.repeat(np.arange(len(token)), RUNS) if rooted else np.arange(len(token))
-                node = np.tile(roots, len(token)) if rooted else part.column(2).to_numpy().view(U)
+                row, node = np.repeat(np.arange(len(token)), RUNS), np.tile(roots, len(token))
                 for _ in range(levels):
                     at, node = children(node, token[row])
                     row = row[at]
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column(0).take(pa.array(row))], ["node", "class"])
 
-    return frame.select("class", "sketch", *([] if rooted else ["node"])).mapInArrow(V.released(run), "node long, class long").distinct()
+    return frame.select("class", "sketch").mapInArrow(V.released(run), "node long, class long").distinct()
 
 
 def compared(buckets: DataFrame) -> DataFrame:
@@ -253,19 +251,11 @@ def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[li
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct likely pairs (a, b) of classes that met in a small bucket, and the large buckets (node, class, count). classes: class, sketch."""
-    leaves, depth, found = staged(paths(classes, DEPTH), "paths"), DEPTH, []
-    while True:
-        sizes = leaves.groupBy("node").count().where("count > 1")
-        shared = staged(leaves.join(sizes, "node").join(classes, "class"), "buckets")
-        found.append(compared(shared.where(F.col("count") <= SMALL)))
-        large = shared.where(F.col("count") > SMALL)
-        if depth == DEEPEST or large.isEmpty():
-            break
-        leaves, depth = staged(paths(large.select("class", "sketch", "node"), 1), "paths"), depth + 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct(), large.select("node", "class", "count")
+    leaves = staged(paths(classes, DEPTH), "paths")
+    sizes = leaves.groupBy("node").count().where("count > 1")
+    shared = staged(leaves.join(sizes, "node"), "buckets")
+    small = shared.where(F.col("count") <= SMALL).join(classes, "class")
+    return compared(small).distinct(), shared.where(F.col("count") > SMALL).select("node", "class", "count")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -216,6 +216,17 @@ def test_sets_connect_what_all_links_connect():
     assert components(whole.connecting()) == components(zip(*np.nonzero(want), strict=True))
 
 
+def test_sets_of_large_buckets_all_stay_in_them(spark, monkeypatch):
+    """What a bucket compares doesn't depend on its size: no set leaves a large one uncompared."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    docs = spark.createDataFrame(list(enumerate(near_copies(random.Random(3), 2, 40))), "doc_id long, text string")
+    signed = jaccard.signatures(docs).select("class", "sketch").dropDuplicates(["class"]).cache()
+    nodes = [(r["node"], r["class"]) for r in rows(jaccard.paths(signed, jaccard.DEPTH))]
+    met = Counter(node for node, _ in nodes)
+    got = {(r["node"], r["class"]) for r in rows(jaccard.candidates(signed)[1])}
+    assert got and got == {(node, c) for node, c in nodes if met[node] > 4}
+
+
 def test_jaccard_edges(spark):
     got = rows(jaccard.grouped(edge(spark)))
     assert len(got) == len(edge_rows()) and not rows(jaccard.grouped(empty(spark)))
