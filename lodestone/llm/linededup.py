@@ -8,8 +8,8 @@ on the input. Lines without a word stay, as do all others.
 
 Winnowing: of every window of two units the one with the least hash (the later on a tie), and every long unit, is
 a fingerprint; any two equal runs hence share one at the same offset. Fingerprints that occur once end there. The
-positions of the others are joined; matches are extended both ways by comparing the runs around them under 128-bit
-hashes, each with its first occurrence only, never within all pairs of a group.
+runs at the others are grouped by 128-bit hashes, and each is compared with its first occurrence only, never within all
+pairs of a group. Matches aren't extended: a longer one goes as the runs of two lines that cover it.
 
 Cases: a null text stays null and has no lines; rows equal in doc_id and text are one document stored twice
 and keep or lose the same lines; a document may become empty, its row stays. An empty table gives no rows.
