@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folders of staged tables.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 #: Bytes that separate words, as a character class of Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,20 +21,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only if that is unset, as in tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, but only if driver and
+    executors are one process (tests): other executors couldn't see it."""
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="stage-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table to the shared folder and read again: lineage is cut and lost executors lose nothing of it."""
+def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as a table (in folders by the columns `by`) to the shared folder and read again: lineage is cut and lost executors
+    lose nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def finished(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """df staged, after which the staged tables that it was made of are deleted."""
+    out = staged(df, name)
+    discard(*used)
+    return out
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
