@@ -7,9 +7,11 @@ repeated run goes, so that longer matches go as a whole and the first occurrence
 on the input. Lines without a word stay, as do all others.
 
 Winnowing: of every window of two units the one with the least hash (the later on a tie), and every long unit, is
-a fingerprint; any two equal runs hence share one at the same offset. Fingerprints that occur once end there. The
-runs at the others are grouped by 128-bit hashes, and each is compared with its first occurrence only, never within all
-pairs of a group. Matches aren't extended: a longer one goes as the runs of two lines that cover it.
+a fingerprint at a position, its anchor; any two equal runs hence share one at the same offset. Fingerprints that occur once end
+there. The others' positions are joined, and each match is extended both ways from its anchor, a unit to the left and one to the
+right, by comparing 128-bit hashes of the longer piece with those at the fingerprint's other positions: with the first equal one only,
+never within all pairs. The next anchor, at most two units on, extends the match further, so that matched pieces that touch or overlap
+make up the maximal runs (:func:`repeated_runs`), which are then deleted.
 
 Cases: a null text stays null and has no lines; rows equal in doc_id and text are one document stored twice
 and keep or lose the same lines; a document may become empty, its row stays. An empty table gives no rows.
@@ -20,13 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _vec as V
-from ._spark import fresh, on_row, staged, table
+from ._spark import finished, fresh, on_row, staged, table
 
 WINDOW, LONG_WORDS = 2, 20
 U = np.uint64
@@ -44,76 +46,73 @@ class Units:
         self.doc = words.doc()[first]
         self.words = last - first + 1
         self.number = np.arange(len(first)) - np.searchsorted(self.doc, self.doc)
+        self.line = line[first] - np.searchsorted(feeds, chunk.at[self.doc])
         self.hash = [V.substring_hash(chunk.prefix(s, b), words.begin[first], words.end[last], b) for s, b in ((1, V.BASE), (2, 0xD1342543DE82EF95))]
 
 
-def windows(units: Units, long_words: int = LONG_WORDS) -> dict[str, np.ndarray]:
-    """All runs, each under the fingerprint (unit) that winnowing selects in it; lead marks one run of each fingerprint."""
+def anchored(units: Units, long_words: int = LONG_WORDS) -> dict[str, np.ndarray]:
+    """The pieces to compare (pairs of units, and long ones), each with the fingerprint at the anchor that winnowing selects in it, the number
+    of its first unit and the lines of its first and last; lead marks one piece of each anchor."""
     h, g = units.hash
     i = np.flatnonzero(units.doc[1:] == units.doc[:-1])
-    chosen = np.where(h[i + 1] <= h[i], i + 1, i)
+    anchor = np.where(h[i + 1] <= h[i], i + 1, i)
     single = np.flatnonzero(units.words >= long_words)
-    begin, size = np.concatenate([i, single]), np.concatenate([np.full(len(i), 2), np.ones(len(single), np.int64)])
+    begin, end = np.concatenate([i, single]), np.concatenate([i + 1, single])
     pair = [V.mix(x[i] * U(V.BASE) + x[i + 1]) for x in (h, g)]
-    chosen = np.concatenate([chosen, single])
-    lead = np.zeros(len(chosen), bool)
-    lead[np.unique(chosen, return_index=True)[1]] = True
+    anchor = np.concatenate([anchor, single])
+    lead = np.zeros(len(anchor), bool)
+    lead[np.unique(anchor, return_index=True)[1]] = True
     return {
-        "doc": units.doc[begin], "fingerprint": h[chosen].view(np.int64), "lead": lead, "begin": units.number[begin], "size": size,
+        "doc": units.doc[begin], "fingerprint": h[anchor].view(np.int64), "lead": lead, "begin": units.number[begin], "first_line": units.line[begin], "last_line": units.line[end],
         "run1": np.concatenate([pair[0], h[single]]).view(np.int64), "run2": np.concatenate([pair[1], g[single]]).view(np.int64),
     }
 
 
-def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc_id, text_hash, units): per document that has any, the numbers of the units that go."""
-    schema = "doc_id long, text_hash long, fingerprint long, lead boolean, begin int, size int, run1 long, run2 long"
+def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, text_hash, run, lines): the maximal runs of units that repeat earlier ones, numbered in each document from 1, with the numbers
+    of their lines (from 0, sorted)."""
+    schema = "doc_id long, text_hash long, fingerprint long, lead boolean, begin int, first_line int, last_line int, run1 long, run2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in V.spans([len(t) for t in texts]):
-                w = windows(Units(V.Chunk(texts[a:b])), long_words)
+                w = anchored(Units(V.Chunk(texts[a:b])), long_words)
                 at = pa.array(w.pop("doc") + a)
                 own = [batch.column(k).take(at) for k in (0, 1)]
-                columns = own + [pa.array(w["fingerprint"]), pa.array(w["lead"]), pa.array(w["begin"], pa.int32()), pa.array(w["size"], pa.int32()), pa.array(w["run1"]), pa.array(w["run2"])]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+                types = {"begin": pa.int32(), "first_line": pa.int32(), "last_line": pa.int32()}
+                yield pa.RecordBatch.from_arrays(own + [pa.array(v, types.get(k)) for k, v in w.items()], names=[x.split()[0] for x in schema.split(", ")])
 
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
-    runs = staged(texts.mapInArrow(V.released(run), schema), "line-runs")
-    often = runs.where("lead").groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    near = runs.join(often, "fingerprint")
-    place = F.struct("doc_id", "text_hash", "begin")
-    first = near.groupBy("run1", "run2", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") < F.col("last")).drop("last")
-    later = near.join(first, ["run1", "run2", "size"]).where(place > F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("begin"), F.col("begin") + F.col("size") - 1)))).alias("units"))
-
-
-def _without(text: pd.Series, units: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, gone in zip(text, units, strict=True):
-        if t is None:
-            out.append((None, 0, 0))
-            continue
-        lines, gone = t.split("\n"), set() if gone is None else set(gone)
-        kept, unit = [], 0
-        for line in lines:
-            if line.strip(" \t\n\v\f\r"):
-                if unit not in gone:
-                    kept.append(line)
-                unit += 1
-            else:
-                kept.append(line)
-        out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
-    return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+    pieces = staged(texts.mapInArrow(V.released(run), schema), "line-pieces")
+    # Both sides of each join are tables of their own, so that a common fingerprint's or piece's rows can be split among tasks.
+    often = staged(pieces.where("lead").groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "often")
+    near = staged(pieces.join(often, "fingerprint").drop("fingerprint", "lead"), "near")
+    place, size = F.struct("doc_id", "text_hash", "begin"), F.col("last_line") > F.col("first_line")
+    first = near.groupBy("run1", "run2", size.alias("pair")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") < F.col("last")).drop("last")
+    first = staged(first, "first")
+    same = (near["run1"] == first["run1"]) & (near["run2"] == first["run2"]) & (size == first["pair"])
+    later = near.join(first, same).where(place > F.col("first")).select("doc_id", "text_hash", "begin", "first_line", "last_line", (F.col("begin") + size.cast("int")).alias("end"))
+    row = Window.partitionBy("doc_id", "text_hash").orderBy("begin", "end")
+    reach = F.max("end").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("new", (reach.isNull() | (F.col("begin") > reach + 1)).cast("int")).withColumn("run", F.sum("new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("first_line", "last_line")))))
+    out = runs.groupBy("doc_id", "text_hash", "run").agg(lines.alias("lines"))
+    return finished(out, "line-runs", pieces, often, near, first)
 
 
 def without_repeats(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """docs with one more struct column (its name: the last of the frame's columns) of text, n_lines and n_removed."""
-    h, out, rid, rhash, units = fresh(docs, "text_hash", "deduplicated", "right_id", "right_hash", "units")
-    gone = repeated_lines(docs, long_words).toDF(rid, rhash, units)
+    h, out, rid, rhash, gone = fresh(docs, "text_hash", "deduplicated", "right_id", "right_hash", "gone")
+    runs = repeated_runs(docs, long_words).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("lines")).alias("lines")).toDF(rid, rhash, gone)
     left = docs.withColumn(h, F.xxhash64("text"))
-    joined = left.join(gone, on_row(left, gone, "doc_id", h, rid, rhash), "left")
-    return joined.withColumn(out, F.pandas_udf(_without, "text string, n_lines long, n_removed long")("text", units)).select(*docs.columns, out)
+    joined = left.join(runs, on_row(left, runs, "doc_id", h, rid, rhash), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
+    n_removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    return joined.withColumn(out, F.struct(text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))).select(*docs.columns, out)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
