@@ -12,7 +12,9 @@ block, as many words as it has there, times the slots that take the block. No bl
 
 Cases: a null text has size 0 and takes nothing; a source without words has target 0; rows equal in every respect are
 two documents. All choices follow from hashes of doc_id, so that reruns agree. An empty table gives no rows. The sources'
-totals (one row each) are the only thing the driver sees; text is read once for the sizes and never shuffled.
+totals (one row each) are the only thing the driver sees; text is read once for the sizes, which are written as a table
+of ids, and is never shuffled. Running sums go by (source, part) with about `PART_ROWS` rows of the whole table in each part
+number, so that no window grows with the data; the parts' own sums (one row each) are added up per source.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import WORD, fresh, on_row, rank_in, table
+from ._spark import WORD, fresh, on_row, rank_in, staged, table
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), Fraction(3, 2), 2
-LEVELS, CHUNKS, SEED = 17, 1024, 20240613
+LEVELS, PARTS, PART_ROWS, SEED = 17, 1024, 100_000, 20240613
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share=SHARE, epochs=EPOCHS) -> list[Fraction]:
@@ -68,7 +70,9 @@ def mix(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "source", size.alias("size"))
-    found = rows.groupBy("source").agg(F.sum("size").alias("words")).collect()
+    rows = staged(rows, "sizes")
+    found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
+    parts = max(PARTS, sum(r["rows"] for r in found) // PART_ROWS)
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [int(r["words"] or 0) for r in found]
     goal, total = targets(sizes) if sum(sizes) else [Fraction(0)] * len(sizes), sum(sizes)
@@ -80,7 +84,7 @@ def mix(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     if not total:
         return known.select("doc_id", "text_hash", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     # Each document's place among its source's shuffled words, in two steps: no window spans a source.
-    known = known.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(SEED))).withColumn("part", F.pmod("h", F.lit(CHUNKS)))
+    known = known.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(SEED))).withColumn("part", F.pmod("h", F.lit(parts)))
     per = known.groupBy("s", "part").agg(F.sum("size").alias("c"))
     before = per.select("s", "part", (F.sum("c").over(Window.partitionBy("s").orderBy("part")) - F.col("c")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("s", "part").orderBy("h", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
