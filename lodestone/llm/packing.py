@@ -1,15 +1,16 @@
 """Operator 7: packing documents into sequences by first-fit decreasing.
 
-Documents fall at random (by hash of doc_id and text) into groups of about `GROUP_ROWS`. In each group every document is
-tokenised and the id `END` is added; full pieces of `SIZE` ids make sequences of their own, and what is left of each
-document is packed by first-fit decreasing: a tournament tree over the bins' free room finds the first bin that fits in
-logarithmic time. As documents may be cut freely, the emptiest bins are then dissolved and their pieces
-(cut where needed) fill the room left in the others, so that a group wastes less than about one sequence.
+Documents are dealt at random (by hash of doc_id, text and place in the table, so that equal rows part) and each task cuts what
+it gets into groups of at most `GROUP_BYTES` of text, or `GROUP_ROWS` documents; a document alone may be longer. In each group
+every document is tokenised and the id `END` is added; full pieces of `SIZE` ids make sequences of their own, and what is left of
+each document is packed by first-fit decreasing: a tournament tree over the bins' free room finds the first bin that fits in
+logarithmic time. The result isn't first-fit decreasing's in the end: as documents may be cut freely, the emptiest bins are then
+dissolved and their pieces (cut where needed) fill the room left in the others, so that a group wastes less than about one sequence.
 
 Token ids are those of the tokenizer file (byte-level BPE; special tokens' strings become special ids, as the tokenizers
-library does by default). Texts of Latin letters and usual punctuation are split into pre-tokens with numpy, each
-distinct pre-token is encoded once and its ids are looked up; texts with other code points, or with a special token's
-string, go through the tokenizers library itself. The ids are the same either way (tests compare them).
+library does by default). Texts are split into pre-tokens with numpy, each distinct pre-token is encoded once and its ids
+are looked up; texts with a code point that Unicode has added or moved to another class since its version 3.2 (where libraries may differ), or
+with a special token's string, go through the tokenizers library itself. The ids are the same either way (tests compare them).
 
 Cases: null is the empty text (the end id alone); equal rows are packed each for itself; an empty table gives no rows.
 """
@@ -19,17 +20,18 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
 from ._spark import table
 
-SIZE, END, GROUP_ROWS = 2048, 1, 2000
-FAST = 0x0250  # code points below are split with numpy
+SIZE, END, GROUP_ROWS, GROUP_BYTES = 2048, 1, 2000, 1 << 22
 CACHE = 1 << 18  # distinct pre-tokens that a worker remembers
 U = np.uint64
 _encoders: dict[str, Encoder] = {}  # noqa: F821  one per Python worker and file
@@ -54,12 +56,24 @@ class Encoder:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         to_byte = byte_of()
-        ranks = {bytes(to_byte[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
+        vocabulary = spec["model"]["vocab"]
+        ranks = {bytes(to_byte[c] for c in k): v for k, v in vocabulary.items() if k not in self.special}
+        # The fast way merges by rank in the vocabulary; that is the file's order of merges only if the merged tokens' ids ascend.
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        self.ranked = all(a < b for a, b in zip(merged, merged[1:]))
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        kinds = {"L": self.LETTER, "N": self.NUMBER}
-        self.kind = np.array([self.SPACE if chr(i).isspace() and not 0x1C <= i <= 0x1F else kinds.get(unicodedata.category(chr(i))[0], self.OTHER) for i in range(FAST)] + [self.EDGE], np.int8)
+        self.kind = self.kinds()
         self.forget()
 
+    def kinds(self) -> np.ndarray:
+        """The kind of each code point, -1 where it may depend on the version of Unicode; last the edge between texts."""
+        kinds, old, out = {"L": self.LETTER, "N": self.NUMBER}, unicodedata.ucd_3_2_0, np.empty(0x110001, np.int8)
+        for i in range(0x110000):
+            c, was = unicodedata.category(chr(i)), old.category(chr(i))
+            out[i] = self.SPACE if chr(i).isspace() and not 0x1C <= i <= 0x1F else kinds.get(c[0], self.OTHER) if c[0] == was[0] != "C" or i < 256 else -1
+        out[0x110000] = self.EDGE
+        return out
+
     def forget(self) -> None:
         self.known, self.at, self.length, self.ids = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
@@ -68,7 +82,7 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         fast = []
         for i, t in enumerate(texts):
-            if (t.isascii() or max(t) < chr(FAST)) and not any(s in t for s in self.special):
+            if self.ranked and (t.isascii() or (self.kind[np.frombuffer(t.encode("utf-32-le"), np.uint32)] >= 0).all()) and not any(s in t for s in self.special):
                 fast.append(i)
             else:
                 out[i] = np.array(self.slow.encode(t, add_special_tokens=False).ids, np.uint32)
@@ -103,7 +117,7 @@ class Encoder:
         joined = "\0".join(texts) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        codes[ends] = FAST
+        codes[ends] = 0x110000
         start = np.flatnonzero(self._starts(codes))
         end = np.append(start[1:], len(codes))
         prefix = np.zeros(len(codes) + 1, U)
@@ -113,7 +127,7 @@ class Encoder:
         place = np.searchsorted(self.known, distinct)
         new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(new):
-            single, edge = self.bpe._encode_single_piece, codes == FAST
+            single, edge = self.bpe.encode_ordinary, codes == 0x110000
             got = [[] if edge[a] else single(joined[a:b]) for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             at = len(self.ids) + np.cumsum(sizes) - sizes
@@ -195,31 +209,46 @@ def pack(lengths: list[int], room: int = SIZE) -> list[list[tuple[int, int, int]
     return out + [bins[k] for _, k in free[:keep]]
 
 
-def packed(docs: DataFrame, path: str | None = None, room: int = SIZE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def packed(docs: DataFrame, path: str | None = None, room: int = SIZE, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. sequence_id: the task's number and, from bit 32 down, the sequence's."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    groups = max(1, -(-docs.count() // group_rows))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-    def run(group: pa.Table) -> pa.Table:
-        ids = [np.append(x, np.uint32(END)).astype("<u4") for x in encoder(path).encode([t or "" for t in group["text"].to_pylist()])]
-        number, names = group["packing_group"][0].as_py(), group["doc_id"]
-        rows = [[] for _ in range(7)]
-        for k, sequence in enumerate(pack([len(x) for x in ids], room)):
-            offset = 0
-            for d, s, n in sequence:
-                for column, value in zip(rows, (d, s, n, zlib.crc32(ids[d][s : s + n].tobytes()), len(ids[d]), (number << 32) + k, offset), strict=True):
-                    column.append(value)
-                offset += n
-        V.release()
-        columns = [names.take(pa.array(rows[0], pa.int64()))] + [pa.array(r, pa.int64()) for r in rows[1:]]
-        return pa.table(columns, [x.split()[0] for x in schema.split(", ")])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("packing_group"))
-    return rows.groupBy("packing_group").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+
+        def emit(names: list, texts: list[str]) -> pa.RecordBatch:
+            nonlocal number
+            ids = [np.append(x, np.uint32(END)).astype("<u4") for x in encoder(path).encode(texts)]
+            rows = [[] for _ in range(7)]
+            for sequence in pack([len(x) for x in ids], room):
+                offset = 0
+                for d, s, n in sequence:
+                    for column, value in zip(rows, (names[d], s, n, zlib.crc32(ids[d][s : s + n].tobytes()), len(ids[d]), number, offset), strict=True):
+                        column.append(value)
+                    offset += n
+                number += 1
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], [x.split()[0] for x in schema.split(", ")])
+
+        names, texts, size = [], [], 0
+        for batch in batches:
+            for name, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                text = text or ""
+                if texts and (size + len(text) > group_bytes or len(texts) == group_rows):
+                    yield emit(names, texts)
+                    names, texts, size = [], [], 0
+                names.append(name)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield emit(names, texts)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("deal", F.xxhash64("doc_id", "text", "row"))
+    return rows.repartition("deal").sortWithinPartitions("deal", "row").mapInArrow(V.released(run), schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
