@@ -7,11 +7,12 @@ Where no rule fits, a host is blocked if it is listed. The universe of keys is t
 the cascade is a Bloom filter of the listed hosts; level 2 one of the hosts that aren't listed but pass level 1; level 3 one of
 the listed that pass level 2, and so on until none passes. For every key of the universe the first level that it fails, or the
 last level's parity, tells exactly whether it is listed; no join and no user function is needed. The filters' words are
-aggregated by bit_or and enter the plan as scalar subqueries. Beyond `MOST_KEYS` listed hosts (at `BITS` bits a key
-the bound of what is sent to the executors) an ordinary join decides instead, with the same result.
+aggregated by bit_or and enter the plan as scalar subqueries. Keys are divided by hash into ranges of about `RANGE_KEYS` listed ones,
+each with a cascade of its own, and each range's rows are judged by a job of their own: whatever the list's size, no plan
+holds more than one range's filters (`BITS` bits a listed key and level, some 5 MB).
 
-The list is a parameter: a one-column frame of hosts. As no public list is at hand offline, the query lists the hosts whose MD5 begins with
-one of the hex digits 0 and 1.
+The list is a parameter: a one-column frame of hosts. As no public list is at hand offline, the query's list is a stand-in: the hosts
+whose MD5 begins with one of the hex digits 0 and 1.
 
 Cases: a null url, or one without '://', has an empty host and path, fits no rule and is allowed (the empty host is never
 listed); only A-Z is lower-cased; user information and ports stay part of the host; equal rows are judged alike; an empty
@@ -20,6 +21,8 @@ table gives no rows; an empty list blocks nothing.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ from ._spark import staged, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-BITS, HASHES, MOST_KEYS, MOST_LEVELS = 8, 4, 20_000_000, 40
+BITS, HASHES, RANGE_KEYS = 8, 4, 4_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -60,7 +63,8 @@ class Bloom:
         self.table = staged(words.agg(sorted_.alias("words")), "bloom")
 
     def places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.salt * HASHES + j)), F.lit(self.words * 64)) for j in range(HASHES)]
+        # The salt comes first: keys that collide under one salt then don't under all.
+        return [F.pmod(F.xxhash64(F.lit(self.salt * HASHES + j), key), F.lit(self.words * 64)) for j in range(HASHES)]
 
     def may_have(self, key: Column) -> Column:
         words, ok = self.table.scalar(), F.lit(True)
@@ -81,8 +85,6 @@ class Cascade:
         self.levels: list[Bloom] = []
         n = own.count()
         while n:
-            if len(self.levels) == MOST_LEVELS:
-                raise RuntimeError("the cascade doesn't end")
             level = Bloom(own, n, len(self.levels))
             self.levels.append(level)
             passed = staged(other.where(level.may_have(F.col(key))), "passed")
@@ -107,11 +109,17 @@ def filtered(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) ->
         universe = hosts.join(names, "host", "left").select("host", F.coalesce("l", F.lit(False)).alias("listed"))
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    if universe.where("listed").count() > MOST_KEYS:
-        rows = rows.join(universe, "host", "left").withColumn("blocked", F.coalesce("listed", F.lit(False)))
-    else:
-        rows = rows.withColumn("blocked", Cascade(universe).has(F.col("host")) & (F.col("host") != ""))
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
+    universe = staged(universe, "universe")
+    ranges = max(1, -(-universe.where("listed").count() // RANGE_KEYS))
+    number, judged = F.pmod(F.xxhash64(F.lit(-1), "host"), F.lit(ranges)), []
+    if ranges > 1:  # each range reads its own rows only
+        universe, rows = (staged(x.withColumn("range", number), "ranges", "range") for x in (universe, rows))
+    for r in range(ranges):
+        of_range = (lambda x, r=r: x.where(F.col("range") == r)) if ranges > 1 else (lambda x: x)
+        blocked = Cascade(of_range(universe).select("host", "listed")).has(F.col("host")) & (F.col("host") != "")
+        got = of_range(rows).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
+        judged.append(staged(got, "judged") if ranges > 1 else got)
+    return functools.reduce(DataFrame.unionByName, judged)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
