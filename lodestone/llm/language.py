@@ -7,11 +7,16 @@ fifths of them. Texts are lower-cased, runs of anything but letters become one b
 interpolation down to a uniform distribution. All probabilities are stored in sorted arrays of n-gram hashes.
 
 Prediction: every character of the whole text is scored by every model. The language with the lowest
-cross-entropy per character wins (ties: the first by code point). The remaining fifth of the sample calibrates the
-temperature of the score (the winner's posterior, 0 to 1) and the rejection: a text is rejected if its cross-entropy
-exceeds its language's mean by more than `SLACK` times the largest excess seen there, both in standard errors of
-a text of its length and (at least `LEAST_EXCESS` nats per character) outright; or if it has no letter or is null
-(prediction 'und', score 0).
+cross-entropy per character wins (ties: the first by code point). score is the winner's posterior among the languages times the
+probability that the text is of any of them, both calibrated on the remaining fifth of the sample:
+
+* The posterior is a softmax of the entropies; its temperature and the length at which a text's length begins to saturate are the
+  likeliest ones on whole texts and pieces of 8 to 128 characters, for Platt's targets (short of 1 by what so few rows can't tell).
+* A logistic function of the winner's excess (nats per character over its language's mean, times sqrt(n / (n + k)) for
+  n characters) tells those texts and pieces from foreign ones: the same
+  under the models of all other languages, with their characters shuffled, and random letters. Foreign texts are taken to be
+  `FOREIGN` of all. A text is rejected where that probability is below a half, so that a rejected text's score is below
+  a half too; or if it has no letter or is null (prediction 'und', score 0).
 
 Cases: rows without a language aren't trained on but predicted; if nothing can be learned, all predictions are
 'und'. Rows without a doc_id aren't trained on. Equal texts get equal predictions. An empty table gives no rows.
@@ -19,6 +24,7 @@ Cases: rows without a language aren't trained on but predicted; if nothing can b
 
 from __future__ import annotations
 
+import random
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,8 +37,7 @@ from pyspark.sql.window import Window
 from . import _vec as V
 from ._spark import crc_mod, fresh, table
 
-ORDER, TRAIN_ROWS, SLACK, LEAST_EXCESS = 4, 400, 1.5, 1.0
-FOLDS = 5
+ORDER, TRAIN_ROWS, FOREIGN, FOLDS = 4, 400, 0.01, 5
 #: Shares of a language in which rows are ranked before the best of all shares are.
 SALTS = 16
 U = np.uint64
@@ -152,25 +157,59 @@ class Identifier:
         gram, context = [g[place] for g in gram], [c[place] for c in contexts(codes, at)]
         self.table = V.SortedHashes(keys)
         self.columns = np.stack([m.score(gram, context) for m in self.models], axis=1).astype(np.float32)
-        # Calibration on the texts that were kept apart.
-        self.temperature = 1.0
-        self.mean, self.worst, self.excess = (np.zeros(len(self.langs)) for _ in range(3))
-        vectors, lengths, truth = [], [], []
+        self.calibrate(held)
+
+    def calibrate(self, held: dict[str, list[str]]) -> None:
+        """The temperature and the logistic function of the excess, from texts that were kept apart."""
+        entropy, size, truth = [], [], []
         for i, k in enumerate(self.langs):
             h, n = self.entropies(held[k])
-            vectors.append(h), lengths.append(n), truth.append(np.full(len(n), i))
-            self.mean[i] = np.average(h[:, i], weights=n)
-            over = h[:, i] - self.mean[i]
-            self.worst[i] = SLACK * max(1e-9, (over * np.sqrt(n)).max())
-            self.excess[i] = max(LEAST_EXCESS, SLACK * over.max(initial=0, where=n >= 100))
-        h, n, y = np.concatenate(vectors), np.concatenate(lengths), np.concatenate(truth)
-
-        def loss(t: float) -> float:
-            z = -h * (t * n[:, None])
-            z -= z.max(1, keepdims=True)
-            return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]))
-
-        self.temperature = min((2.0**-k for k in range(12)), key=lambda t: (loss(t), -t))
+            entropy.append(h), size.append(n), truth.append(np.full(len(n), i))
+        self.mean = np.array([np.average(h[:, i], weights=n) for i, (h, n) in enumerate(zip(entropy, size, strict=True))])
+        h, n, y = np.concatenate(entropy), np.concatenate(size), np.concatenate(truth)
+        rng = random.Random(17)
+        whole = [t for k in self.langs for t in held[k]]
+        pieces = [t[(a := rng.randrange(max(1, len(t) - width + 1))) : a + width] for t in whole for width in (8, 16, 32, 64, 128)]
+        keep = [j for j, t in enumerate(pieces) if any(map(str.isalpha, t))]
+        pieces, owner = [pieces[j] for j in keep], np.array([y[j // 5] for j in keep], np.int64)
+        every = sorted({c for t in whole for c in t.lower() if c.isalpha()})
+        junk = ["".join(rng.sample(t, len(t))) for t in whole + pieces] + ["".join(rng.choices(every, k=min(len(t), 400))) for t in whole + pieces]
+        hp, m = self.entropies(pieces)
+        h, n, y = np.concatenate([h, hp]), np.concatenate([n, m]), np.concatenate([y, owner])
+        # The likeliest temperature and bound of the length that counts, for Platt's targets.
+        sure = (np.bincount(y)[y] + 1) / (np.bincount(y)[y] + 2)
+
+        def loss(scale: tuple[float, float]) -> float:
+            self.temperature, self.reach = scale
+            z = np.log(self.posteriors(h, n))
+            right = z[np.arange(len(y)), y]
+            return -float(np.mean(sure * right + (1 - sure) * (z.sum(1) - right) / max(1, len(self.langs) - 1)))
+
+        self.temperature, self.reach = min(((2.0 ** (k / 2), r) for k in range(-10, 7) for r in (4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0)), key=loss)
+        own, foreign = [self.excess(h, n)], [self.excess(*self.entropies(junk))]
+        if len(self.langs) > 1:
+            other = h.copy()
+            other[np.arange(len(y)), y] = np.inf
+            foreign.append(self.excess(other, n))
+        x, n = (np.concatenate([g[i] for g in own + foreign]) for i in (0, 1))
+        good = np.arange(len(x)) < len(own[0][0])
+        weight = np.where(good, (1 - FOREIGN) / good.sum(), FOREIGN / max(1, (~good).sum()))
+        self.short, self.logit = 0, np.zeros(2)
+        best = np.inf
+        for k in (0, 8, 16, 32, 64, 128):
+            found, cost = logistic(x * np.sqrt(n / np.maximum(n + k, 1)), good, weight)
+            if cost < best:
+                best, self.short, self.logit = cost, k, found
+
+    def posteriors(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """documents x languages: softmax of the negative cross-entropies, times the temperature and the length, which saturates."""
+        z = -h * (self.temperature * n / (1 + n / self.reach))[:, None]
+        z = np.exp(z - z.max(1, keepdims=True))
+        return np.maximum(z / z.sum(1, keepdims=True), 1e-300)
+
+    def excess(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = h.argmin(1)
+        return h[np.arange(len(best)), best] - self.mean[best], n
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(documents x languages nats per character, characters). The whole texts are scored."""
@@ -193,11 +232,35 @@ class Identifier:
         """(language, score, cross-entropy, rejected)."""
         h, n = self.entropies(texts)
         best = h.argmin(1)
-        z = -h * (self.temperature * n[:, None])
-        score = 1 / np.exp(z - z[np.arange(len(best)), best][:, None]).sum(1)
+        posterior = self.posteriors(h, n).max(1)
         low = h[np.arange(len(best)), best]
-        over = low - self.mean[best]
-        return [self.langs[i] for i in best], score, low, (over * np.sqrt(n) > self.worst[best]) & (over > self.excess[best])
+        z = self.logit[0] + self.logit[1] * (low - self.mean[best]) * np.sqrt(n / np.maximum(n + self.short, 1))
+        accepted = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        return [self.langs[i] for i in best], posterior * accepted, low, accepted < 0.5
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """(intercept and a slope of at most 0, cost) of the weighted logistic regression of y on x, by Newton's method with halved steps."""
+    features = np.stack([np.ones(len(x)), x], axis=1)
+    sign = np.where(y, 1.0, -1.0)
+
+    def cost(b: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, -sign * (features @ b)) + ridge * b @ b / 2)
+
+    b = np.array([0.0, -1.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(features @ b, -700, 700)))
+        gradient = features.T @ (weight * (p - y)) + ridge * b
+        hessian = (features * (weight * p * (1 - p))[:, None]).T @ features + ridge * np.eye(2)
+        step, rate = np.linalg.solve(hessian, gradient), 1.0
+        while rate > 1e-6 and cost(b - rate * step) > cost(b):
+            rate /= 2
+        if rate * np.abs(step).max() < 1e-9:
+            break
+        b = b - rate * step
+    if b[1] > 0:  # foreign texts aren't less likely: the excess tells nothing
+        b = np.array([np.log((weight @ y + 1e-9) / (weight @ ~y + 1e-9)), 0.0])
+    return b, cost(b)
 
 
 def fitted(docs: DataFrame, train: Column, rows: int = TRAIN_ROWS) -> Identifier:
