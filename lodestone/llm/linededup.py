@@ -106,6 +106,7 @@ def without_repeats(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     h, out, rid, rhash, gone = fresh(docs, "text_hash", "deduplicated", "right_id", "right_hash", "gone")
     runs = repeated_runs(docs, long_words).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("lines")).alias("lines")).toDF(rid, rhash, gone)
     left = docs.withColumn(h, F.xxhash64("text"))
+    runs = runs.hint("merge")  # grows with the data: never sent to all tasks, however small it is here
     joined = left.join(runs, on_row(left, runs, "doc_id", h, rid, rhash), "left")
     lines = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
