@@ -1,15 +1,19 @@
 """Operator 5: language-model scoring with Brown class-based bigrams.
 
-Tokens: the words of the text with A-Z in lower case, then one end. *Items*: the `HEAD` most frequent tokens each, and for
-all other words (known or not) a *signature*, hashed from their last two bytes and whether they are long, one of
-`SIGNATURES`. The exchange algorithm assigns items to `CLASSES` classes: in turn each item goes to the class that
-raises the likelihood of the class bigrams most, until a pass moves none (at most `PASSES`). Counts of words and of item
-bigrams cover all training texts; only the item bigram matrix, of fixed size, comes to the driver.
+Tokens: the words of the text with A-Z in lower case, then one end. The *vocabulary*: the tokens that occur at least `LEAST` times, or
+so often that at most `VOCABULARY` words do. All other words, known or not, go by a *signature*, hashed from their last two bytes and
+whether they are long, one of `SIGNATURES`. Vocabulary and signatures are assigned to `CLASSES` classes by the exchange algorithm,
+which moves a word to the class that raises the likelihood of the class bigrams most:
 
-P(w | v) = P(class(w) | class(v)) * P(item(w) | class(w)) * P(w | item(w)), where transitions are interpolated with class
-frequencies (Witten-Bell), items are smoothed by one count each, and words within a signature by absolute discounting:
-its unseen words, as many as it has seen words and one, share the mass that the discount frees. A text's first token
-follows a begin item.
+1. One after the other, until a pass moves none (at most `PASSES`), for the `HEAD` most frequent words and the signatures (which
+   stand for all other words here); only the bigram matrix of these items, of fixed size, comes to the driver.
+2. All other words of the vocabulary at once, each by itself in a task, by its counts of classes before and after, against
+   the class bigrams of the time (distributed exchange), at most `ROUNDS` times and as long as the likelihood of all training texts rises.
+
+P(w | v) = P(class(w) | class(v)) * P(w | class(w)), where transitions are interpolated with class frequencies (Witten-Bell). Within a
+class, words have their relative frequencies and signatures one count more than theirs; words within a signature are smoothed by
+absolute discounting: its unseen words, as many as it has seen words and one, share the mass that the discount frees.
+A text's first token follows a begin, which has a class of its own. All counts cover all training texts.
 
 Scoring: counts of all words that occur at least so often that at most `TABLE` words do are sent to the tasks (a fixed
 bound); the other words of each document are joined with all counts by hash, so that each count is exact. Words are told
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 from . import _vec as V
 from ._spark import crc_mod, staged, table
 
-HEAD, SIGNATURES, CLASSES, PASSES, TABLE = 512, 255, 48, 8, 1 << 20
+HEAD, SIGNATURES, CLASSES, PASSES, TABLE = 512, 255, 96, 8, 1 << 20
+LEAST, VOCABULARY, ROUNDS = 5, 1 << 20, 1
 KEEP = 1 << 20  # distinct words that a counting task holds before it sends them on
 U = np.uint64
 END, BEGIN = -1, HEAD + SIGNATURES  # the end token's signature; the begin item
@@ -179,21 +184,150 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return of
 
 
-def transitions(bigrams: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 P(class | class before), log10 P(item | its class))."""
-    classes = of.max() + 1
-    table_ = np.zeros((classes, classes))
-    np.add.at(table_, (of[:, None], of[None, :]), bigrams)
-    table_ = table_[:, : classes - 1]  # nothing is followed by the begin
-    share = (table_.sum(0) + 1) / (table_.sum() + classes - 1)
+class Classes:
+    """Words with their counts and classes (-1: by signature), sorted by hash, and the signatures' classes; classes + 1 with the begin."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, of: np.ndarray, signs: np.ndarray, begin: int):
+        self.h, self.n, self.of = h, np.append(n, 0), np.append(of, -1).astype(np.int16)  # one more than words: absent ones are at 0
+        self.signs, self.begin, self.side = signs, begin, begin + 1
+
+    def open(self) -> Classes:
+        self.known = V.SortedHashes(self.h)
+        return self
+
+    def classes(self, h: np.ndarray, s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(class, class before, word, whether it is in the vocabulary, whether it is known) of each token."""
+        at, found = self.known.find(h)
+        inside = found & (self.of[at] >= 0)
+        of = np.where(inside, self.of[at], self.signs[s]).astype(np.int64)
+        before = np.concatenate([[self.begin], of[:-1]])
+        before[np.concatenate([[True], doc[1:] != doc[:-1]])] = self.begin
+        return of, before, at, inside, found
+
+
+def class_bigrams(texts: DataFrame, shared) -> np.ndarray:
+    """Matrix of counts: row the class before, column the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value.open()
+        matrix = np.zeros(m.side * m.side, np.int64)
+        for batch in batches:
+            for _, _, part in _pieces(batch, 0):
+                of, before, *_ = m.classes(*tokens(part))
+                matrix += np.bincount(before * m.side + of, minlength=m.side * m.side)
+        at = np.flatnonzero(matrix)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(matrix[at])], ["cell", "n"])
+
+    side = shared.value.side
+    got = texts.mapInArrow(V.released(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(side * side)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(side, side)
+
+
+def contexts(texts: DataFrame, shared, fixed: np.ndarray) -> DataFrame:
+    """(w, c, n): how often class c stands before (or, from `side` on, after) word w of the vocabulary, if it isn't one of the fixed ones
+    (sorted hashes). Added up before they are shuffled; words lie sorted and whole in partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value.open()
+        move = (m.of >= 0) & ~np.isin(np.append(m.h, U(0)), fixed)
+        keys, counts, held = [], [], 0
+
+        def flush(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((k // (2 * m.side)).astype(np.int32)), pa.array((k % (2 * m.side)).astype(np.int32)), pa.array(n)], ["w", "c", "n"])
+
+        for batch in batches:
+            for _, _, part in _pieces(batch, 0):
+                h, s, doc = tokens(part)
+                of, before, at, inside, _ = m.classes(h, s, doc)
+                wanted = np.flatnonzero(inside & move[at])
+                after = wanted[wanted + 1 < len(of)]
+                after = after[doc[after + 1] == doc[after]]
+                k, n = np.unique(np.concatenate([at[wanted] * (2 * m.side) + before[wanted], at[after] * (2 * m.side) + m.side + of[after + 1]]), return_counts=True)
+                keys.append(k), counts.append(n)
+                held += len(k)
+                if held > 2 * KEEP:
+                    k, n = V.counted(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held = [k], [n], len(k)
+                    if held > KEEP:
+                        yield flush(k, n)
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield flush(*V.counted(np.concatenate(keys), np.concatenate(counts)))
+
+    got = texts.mapInArrow(V.released(run), "w int, c int, n long").repartition("w")
+    return got.groupBy("w", "c").agg(F.sum("n").alias("n")).sortWithinPartitions("w")
+
+
+def phi(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(bigrams: np.ndarray) -> float:
+    """The log-likelihood of the class bigrams, but for a term that the classes don't change."""
+    return float(phi(bigrams).sum() - phi(bigrams.sum(0)).sum() - phi(bigrams.sum(1)).sum())
+
+
+def moved(w: np.ndarray, c: np.ndarray, n: np.ndarray, old: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """The best class of each word. w: numbers of the words, ascending, for each class c around it and its count n; old: the words' classes."""
+    side = len(bigrams)
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    of, n = old[w], n.astype(float)
+    after = c >= side
+    # For each row, the counts of all classes with the class around the word; those of its own class without it.
+    cells = np.where(after[:, None], bigrams[: side - 1, c % side].T, bigrams[c % side, : side - 1])
+    cells[np.arange(len(w)), of] -= n
+    np.maximum(cells, 0, out=cells)
+    gain = np.add.reduceat(phi(cells + n[:, None]) - phi(cells), first, axis=0)
+    total = [np.add.reduceat(np.where(x, n, 0.0), first) for x in (after, ~after)]
+    for margin, size in zip((bigrams.sum(1), bigrams.sum(0)), total, strict=True):
+        margin = np.repeat(margin[None, : side - 1], len(first), axis=0)
+        margin[np.arange(len(first)), of[first]] -= size
+        np.maximum(margin, 0, out=margin)
+        gain -= phi(margin + size[:, None]) - phi(margin)
+    stay = gain[np.arange(len(first)), of[first]]
+    best = gain.argmax(1)
+    return np.where(gain[np.arange(len(first)), best] > stay, best, of[first])
+
+
+def reassigned(found: DataFrame, shared, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, their new classes). found: what contexts() returns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old = shared.value.of.astype(np.int64)
+        rest = [np.empty(0, np.int64)] * 3
+
+        def emit(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            w = columns[0]
+            cuts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))[::512].tolist() + [len(w)] if len(w) else []
+            for a, b in zip(cuts, cuts[1:]):
+                part = [x[a:b] for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(part[0]).astype(np.int32)), pa.array(moved(*part, old, bigrams).astype(np.int16))], ["w", "class"])
+
+        for batch in batches:
+            rest = [np.concatenate([r, batch.column(k).to_numpy().astype(np.int64)]) for k, r in enumerate(rest)]
+            if len(rest[0]):
+                whole = int(np.searchsorted(rest[0], rest[0][-1]))  # the last word may go on in the next batch
+                yield from emit([r[:whole] for r in rest])
+                rest = [r[whole:] for r in rest]
+        yield from emit(rest)
+
+    got = found.mapInArrow(V.released(run), "w int, class short").toArrow()
+    return got["w"].to_numpy(), got["class"].to_numpy()
+
+
+def transitions(bigrams: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before): Witten-Bell, interpolated with the classes' frequencies."""
+    table_ = bigrams[:, :-1]  # nothing is followed by the begin
+    share = (table_.sum(0) + 1) / (table_.sum() + len(bigrams) - 1)
     kinds = (table_ > 0).sum(1, keepdims=True)
     total = table_.sum(1, keepdims=True)
-    prob = np.where(total > 0, (table_ + kinds * share) / np.maximum(total + kinds, 1), share)
-    count = bigrams.sum(0)[:-1] + 1
-    return np.log10(prob), np.log10(count / np.bincount(of[:-1], count, classes)[of[:-1]])
+    return np.log10(np.where(total > 0, (table_ + kinds * share) / np.maximum(total + kinds, 1), share))
 
 
-def score(docs: DataFrame, held_out) -> DataFrame:
+def score(docs: DataFrame, held_out, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The model learns where not held_out."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -202,54 +336,77 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     facts = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("ones"), F.sum((F.col("n") == 2).cast("long")).alias("twos")).first()
     total, kinds = int(facts["n"] or 0), int(facts["v"])
     head = np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(HEAD).collect()], np.int64).view(U)
-    bigrams = item_bigrams(train, head)
-    of = exchange(bigrams)
-    move, emit = transitions(bigrams, of)
-    # Words of each signature that aren't items by themselves.
+    # Words sent to the tasks: the vocabulary, and all that occur so often that at most TABLE words do.
+    steps = counts.groupBy(F.floor(F.log2("n") * 4).alias("step")).count().orderBy(F.desc("step")).collect()
+
+    def at_most(words: int):
+        """The condition of words that occur so often that at most `words` do."""
+        have, least = 0, 1 << 30
+        for r in steps:
+            have += r["count"]
+            if have > words:
+                break
+            least = r["step"]
+        return F.floor(F.log2("n") * 4) >= least
+
     is_head = F.col("h").isin([int(x) for x in head.view(np.int64)])
-    tail = counts.where(~is_head)
+    vocabulary = is_head | (at_most(VOCABULARY) & (F.col("n") >= LEAST))
+    frequent = vocabulary | at_most(TABLE)
+    common = counts.where(frequent).select("h", "n", "signature", vocabulary.alias("inside")).toArrow()
+    h, n, sign, inside = (common[c].to_numpy() for c in ("h", "n", "signature", "inside"))
+    order = np.argsort(h.view(U))
+    h, n, sign, inside = h.view(U)[order], n[order], sign[order], inside[order].astype(bool)
+    # The vocabulary's classes: the head's from its exchange, the others' first by signature.
+    bigrams = item_bigrams(train, head)
+    of = exchange(bigrams, classes)
+    signs, is_first = of[HEAD : HEAD + SIGNATURES], np.isin(h, head)
+    first = np.where(inside, signs[sign], -1)
+    first[is_first] = of[np.argsort(head)[np.searchsorted(np.sort(head), h[is_first])]]
+    told, got = spark.sparkContext.broadcast(Classes(h, n, first, signs, classes)), np.zeros((classes + 1, classes + 1))
+    np.add.at(got, (of[:, None], of[None, :]), bigrams)
+    for round_ in range(rounds + 1):
+        model, bigrams = told, got
+        if round_ == rounds or not (inside & ~is_first).any():
+            break
+        w, new = reassigned(contexts(train, model, np.sort(head)), model, bigrams)
+        of = model.value.of[:-1].copy()
+        of[w] = new
+        told = spark.sparkContext.broadcast(Classes(h, n, of, signs, classes))
+        got = class_bigrams(train, told)
+        if likelihood(got) <= likelihood(bigrams):
+            break
+    of, move = model.value.of[:-1], transitions(bigrams)
+    # Emission: words of the vocabulary by their counts, signatures by one more than the counts of the other words they stand for.
+    tail = counts.where(~vocabulary)
     per = {r["signature"]: (int(r["n"]), int(r["v"])) for r in tail.groupBy("signature").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     ones, twos = int(facts["ones"] or 0), int(facts["twos"] or 0)
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
     mass = np.array([per.get(i, (0, 0)) for i in range(SIGNATURES)], float)
-    # The least count of which at most TABLE words have as many.
-    steps = counts.groupBy(F.floor(F.log2("n") * 4).alias("step")).count().orderBy(F.desc("step")).collect()
-    have, least = 0, None
-    for r in steps:
-        if have + r["count"] > TABLE:
-            break
-        have, least = have + r["count"], r["step"]
-    frequent = F.floor(F.log2("n") * 4) >= (least if least is not None else 1 << 30)
-    common = counts.where(frequent | is_head).select("h", "n").toArrow()
-    ch, cn = common["h"].to_numpy().view(U), common["n"].to_numpy()
-    order = np.argsort(ch)
-    shared = spark.sparkContext.broadcast({"h": ch[order], "n": cn[order], "head": np.sort(head), "to": np.argsort(head).astype(np.int64), "of": of, "move": move, "emit": emit, "mass": mass})
+    size = np.bincount(signs, mass[:, 0] + 1, classes) + np.bincount(of[inside], n[inside], classes)
+    emit = np.append(np.where(inside, np.log10(np.maximum(n, 1)) - np.log10(np.maximum(size, 1))[np.maximum(of, 0)], 0), 0)
+    emit_sign = np.log10(mass[:, 0] + 1) - np.log10(size[signs])
+    shared = spark.sparkContext.broadcast((model.value, move, emit, emit_sign, mass))
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, signature int, n long"
 
-    def inside(c: np.ndarray, s: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    def within(c: np.ndarray, s: np.ndarray, mass: np.ndarray) -> np.ndarray:
         """log10 P(word | signature)."""
         seen, v = mass[s, 0], mass[s, 1]
         free = np.where(seen > 0, discount * v / np.maximum(seen, 1), 1.0) / (v + 1)
         return np.log10(np.where(c > 0, (c - discount) / np.maximum(seen, 1), free))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lookup, known = V.SortedHashes(m["head"]), V.SortedHashes(m["h"])
-        of, move, emit, mass = m["of"], m["move"], m["emit"], m["mass"]
+        m, move, emit, emit_sign, mass = shared.value
+        m.open()
         for batch in batches:
             for a, b, part in _pieces(batch, 3):
                 n = b - a
                 h, s, doc = tokens(part)
-                item, before = items(lookup, m["to"], h, s, doc)
-                logs = move[of[before], of[item]] + emit[item]
-                if known.n:
-                    at, found = known.find(h)
-                    c = np.where(found, m["n"][at], 0)
-                else:
-                    found, c = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+                of, before, at, inside, found = m.classes(h, s, doc)
+                logs = move[before, of] + np.where(inside, emit[at], emit_sign[s])
+                c = np.where(found, m.n[at], 0)
                 base = np.where(found, np.log10((c + 1) / (total + kinds + 1)), 0)
-                word = found & (item >= HEAD)
-                logs[word] += inside(c[word], s[word], mass)
+                word = found & ~inside
+                logs[word] += within(c[word], s[word], mass)
                 sums = [np.bincount(doc, x, n) for x in (base, logs)]
                 rid, own = batch.column(0).slice(a, n), (batch.column(k).slice(a, n) for k in (1, 2))
                 key = V.mix(np.asarray(rid).astype(U)).view(np.int64)
@@ -265,7 +422,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([rid.take(pa.array(doc[rest])), *nulls, pa.array(h[rest].view(np.int64)), pa.array(s[rest]), pa.array(times)], [x.split()[0] for x in schema.split(", ")])
 
     parts = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(V.released(run), schema)
-    rare = counts.where(~(frequent | is_head)).select(F.col("h").alias("key"), F.col("n").alias("c"))
+    rare = counts.where(~frequent).select(F.col("h").alias("key"), F.col("n").alias("c"))
     joined = parts.join(rare, parts["h"] == rare["key"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     by_signature = F.array(*[F.struct(F.lit(float(x)).alias("seen"), F.lit(float(y)).alias("v")) for x, y in mass])
     sig = F.get(by_signature, F.col("signature"))

@@ -315,3 +315,132 @@ def test_first_fit_decreasing_is_first_fit():
             want.append(home := [])
         home.append(i)
     assert packing.first_fit_decreasing(sizes, 100) == want
+
+
+def test_class_lm_scores_are_those_of_the_plain_formula(spark, sf, monkeypatch):
+    """All counts, transitions and emissions recomputed with dictionaries, from the classes alone."""
+    from pyspark import SparkContext
+
+    sent, send = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    got = {r["doc_id"]: r["score"] for r in rows(classlm.op5_class_lm(spark, sf))}
+    model = sent[-1][0]
+    docs = [(r["doc_id"], r["text"] or "") for r in rows(spark.read.parquet(f"{sf}/documents.parquet"))]
+    h, s, doc = classlm.tokens([t.encode() for _, t in docs])
+    text = [list(zip(h[doc == k].tolist(), s[doc == k].tolist(), strict=True)) for k in range(len(docs))]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs]
+    of = {x: c for x, c in zip(model.h.tolist(), model.of.tolist(), strict=False) if c >= 0}
+    assert len(of) > 2 * classlm.HEAD and len(set(of.values())) > classlm.CLASSES // 2
+    group = lambda w: of.get(w[0], int(model.signs[w[1]]))
+    count, pairs = Counter(), Counter()
+    for ws, yes in zip(text, train, strict=True):
+        if yes:
+            count.update(w[0] for w in ws)
+            pairs.update(zip([model.begin, *map(group, ws)], map(group, ws)))
+    sign_of = {w[0]: w[1] for ws, yes in zip(text, train, strict=True) if yes for w in ws}
+    head = sorted(count.values(), reverse=True)[: classlm.HEAD][-1]
+    assert all(count[w] >= min(classlm.LEAST, head) for w in of)
+    seen, kinds, size = Counter(), Counter(), Counter()
+    for w, n in count.items():
+        if w in of:
+            size[of[w]] += n
+        else:
+            seen[sign_of[w]] += n
+            kinds[sign_of[w]] += 1
+    for k in range(classlm.SIGNATURES):
+        size[int(model.signs[k])] += seen[k] + 1
+    ones, twos = (sum(n == k for n in count.values()) for k in (1, 2))
+    discount = ones / (ones + 2 * twos)
+    before, follow, after = Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        before[a] += n
+        follow[a] += 1
+        after[b] += n
+    total = sum(pairs.values())
+
+    def log_probability(a, w):
+        b = group(w)
+        share = (after[b] + 1) / (total + classlm.CLASSES)
+        p = (pairs[a, b] + follow[a] * share) / (before[a] + follow[a]) if before[a] else share
+        if w[0] in of:
+            return math.log10(p * count[w[0]] / size[b])
+        k = w[1]
+        p *= (seen[k] + 1) / size[b]
+        if count[w[0]]:
+            return math.log10(p * (count[w[0]] - discount) / seen[k])
+        return math.log10(p * (discount * kinds[k] / seen[k] if seen[k] else 1) / (kinds[k] + 1))
+
+    for (i, _), ws in zip(docs, text, strict=True):
+        want = sum(log_probability(a, w) for a, w in zip([model.begin, *map(group, ws)], ws))
+        assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
+def test_class_lm_exchange_of_the_vocabulary_raises_the_likelihood(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    one, two, single = (sum(r["score"] for r in rows(classlm.score(docs, held, classes=c, rounds=r)) if not r["held_out"]) for c, r in ((48, 0), (48, 1), (1, 0)))
+    assert two > one > single
+
+
+def test_distributed_exchange_moves_a_word_to_the_class_of_its_likes():
+    bigrams = np.array([[0, 50, 0, 5.0], [50, 0, 0, 5], [0, 0, 9, 0], [5, 5, 0, 0]])
+    w, c, n = (np.array(x) for x in ([0, 0, 3, 3], [1, 4 + 1, 0, 4 + 0], [4, 4, 4, 4]))
+    assert classlm.moved(w, c, n, np.array([2, 0, 0, 2]), bigrams).tolist() == [0, 1]
+
+
+def plain_kneser_ney(texts, order, alphabet, context, char):
+    """Interpolated Kneser-Ney by dictionaries: absolute discounting, lower orders from continuation types."""
+    padded = [" " * (order - 1) + t for t in texts]
+    top = Counter(t[i - order + 1 : i + 1] for t in padded for i in range(order - 1, len(t)))
+    counts = {order: top}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def p(n, ctx, c):
+        if n == 0:
+            return 1 / alphabet
+        level = counts[n]
+        ones, twos = (sum(v == k for v in level.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones else 0.5
+        ctx = ctx[len(ctx) - n + 1 :] if n > 1 else ""
+        after = {g: v for g, v in level.items() if g[:-1] == ctx}
+        lower = p(n - 1, ctx[1:], c)
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(after.get(ctx + c, 0) - d, 0) / total + d * len(after) / total * lower
+
+    return p(order, context, c=char)
+
+
+def test_kneser_ney_is_the_plain_formula():
+    texts = ["abab abba ", "baab caab ", "cab "]
+    m = language.KneserNey([t.strip() for t in texts], 5)
+    codes, doc = language.normalised(["bab cx", "aab"])
+    gram, at = language.grams(codes, doc)
+    got = m.score(gram, language.contexts(codes, at))
+    flat = "".join(chr(c - 1) for c in codes.tolist())
+    want = [plain_kneser_ney(texts, language.ORDER, 5, flat[i - language.ORDER + 1 : i], flat[i]) for i in at.tolist()]
+    assert np.allclose(np.exp(got), want, rtol=1e-9)
+
+
+def test_language_rejects_junk_and_languages_without_a_model(spark, sf):
+    docs = rows(spark.read.parquet(f"{sf}/documents.parquet"))
+    samples = defaultdict(list)
+    for r in docs:
+        if r["lang"] and r["text"]:
+            samples[r["lang"]].append(r["text"])
+    rng = np.random.default_rng(4)
+    model = language.Identifier({k: v[::2] for k, v in samples.items()})
+    own = [t for v in samples.values() for t in v[1::2] if sum(map(str.isalpha, t)) > 30]
+    junk = ["".join(rng.permutation(list(t))) for t in own] + ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200)) for _ in range(50)]
+    junk += ["Это предложение на русском языке", "これは日本語の文です", "Tämä on suomenkielinen lause", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQgc3RyaW5n"]
+    _, score, _, rejected = model.predict(own)
+    assert rejected.mean() <= 0.01 and np.median(score) > 0.95
+    _, score, _, rejected = model.predict(junk)
+    assert rejected.mean() >= 0.98 and (score[rejected] < 0.5).all()
+    for left in ("de", "es"):
+        rest = language.Identifier({k: v[::2] for k, v in samples.items() if k != left})
+        foreign = [t for t in samples[left] if sum(map(str.isalpha, t)) > 300]
+        _, score, _, rejected = rest.predict(foreign)
+        assert rejected.mean() > 0.8 and score[rejected].max() < 0.5
