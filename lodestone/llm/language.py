@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from . import _vec as V
 from ._spark import crc_mod, fresh, table
 
-ORDER, TRAIN_ROWS, FOREIGN, FOLDS = 4, 400, 0.01, 5
+ORDER, TRAIN_ROWS, FOREIGN, FOLDS = 4, 400, 0.05, 5
 #: Shares of a language in which rows are ranked before the best of all shares are.
 SALTS = 16
 U = np.uint64
@@ -193,7 +193,11 @@ class Identifier:
             foreign.append(self.excess(other, n))
         x, n = (np.concatenate([g[i] for g in own + foreign]) for i in (0, 1))
         good = np.arange(len(x)) < len(own[0][0])
-        weight = np.where(good, (1 - FOREIGN) / good.sum(), FOREIGN / max(1, (~good).sum()))
+        # Whole texts and pieces, which each list above holds in this order, weigh the same.
+        entire, weight = np.arange(len(x)) % good.sum() < len(whole), np.empty(len(x))
+        for kind, share in ((good, 1 - FOREIGN), (~good, FOREIGN)):
+            for part in (kind & entire, kind & ~entire):
+                weight[part] = share / 2 / max(1, part.sum())
         self.short, self.logit = 0, np.zeros(2)
         best = np.inf
         for k in (0, 8, 16, 32, 64, 128):
