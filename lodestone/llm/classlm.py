@@ -37,7 +37,7 @@ from ._spark import crc_mod, staged, table
 
 HEAD, SIGNATURES, CLASSES, PASSES, TABLE = 512, 255, 96, 8, 1 << 20
 LEAST, VOCABULARY, ROUNDS = 5, 1 << 20, 1
-KEEP = 1 << 20  # distinct words that a counting task holds before it sends them on
+KEEP = 1 << 19  # distinct words that a counting task holds before it sends them on
 U = np.uint64
 END, BEGIN = -1, HEAD + SIGNATURES  # the end token's signature; the begin item
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -301,8 +301,12 @@ def reassigned(found: DataFrame, shared, bigrams: np.ndarray) -> tuple[np.ndarra
 
         def emit(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             w = columns[0]
-            cuts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))[::512].tolist() + [len(w)] if len(w) else []
-            for a, b in zip(cuts, cuts[1:]):
+            if not len(w):
+                return
+            starts = np.append(np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])), len(w))
+            # Pieces of whole words: a word has at most 2 * side rows.
+            cuts = np.unique(starts[np.searchsorted(starts, np.append(np.arange(0, len(w), 4096), len(w)))])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = [x[a:b] for x in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(part[0]).astype(np.int32)), pa.array(moved(*part, old, bigrams).astype(np.int16))], ["w", "class"])
 
