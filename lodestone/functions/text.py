@@ -50,6 +50,11 @@ def capped(body: Column, uncapped: bool = False) -> Column:
     return body if uncapped else F.when(F.char_length(body) > BODY_CAP, F.concat(F.substring(body, 1, BODY_CAP), F.lit("..."))).otherwise(body)
 
 
+def truncated(text: Column, most: int, mark: str = "\n... (truncated)") -> Column:
+    """The first `most` characters, with a mark if there were more."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
 def squeezed(query: Column) -> Column:
     """White space collapsed to single blanks, none at the ends."""
     return F.trim(F.regexp_replace(query, r"(?U)\s+", " "))

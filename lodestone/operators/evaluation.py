@@ -9,19 +9,24 @@ from pyspark.sql.window import Window
 from ..functions.text import path_matches
 
 
-def nearest_rank(values: str, p: float) -> Column:
-    """Aggregate: the sorted value at round(p / 100 * (n - 1)), half away from zero; 0 without values."""
-    sorted_ = F.array_sort(F.collect_list(values))
-    at = F.floor(F.lit(p / 100.0) * (F.size(sorted_) - 1) + 0.5).cast("int")
-    return F.coalesce(F.get(sorted_, at), F.lit(0.0))
+ACCURACY = 10_000
 
 
 def nearest_rank_by(frame: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """(key, p_value) like nearest_rank for groups of any size: ranks by a window, no group is collected."""
+    """(key, p_value): the sorted value at round(p / 100 * (n - 1)), half away from zero, for groups of any size.
+
+    An approximate percentile brackets the value (its rank error is at most n / ACCURACY); only the distinct values within the bracket are
+    ranked, each with its count, so that no task sorts a whole group."""
     known = frame.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"))
-    n = known.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.floor(F.lit(p / 100.0) * (F.col("n") - 1) + 0.5) + 1)
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("v")))
-    return ranked.join(F.broadcast(n), key).where(F.col("r") == F.col("at")).select(key, F.col("v").alias("p_value"))
+    share = [min(1.0, max(0.0, p / 100 + d / ACCURACY)) for d in (-3, 3)]
+    n = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", F.array(*map(F.lit, share)), ACCURACY).alias("q"))
+    few = F.col("n") <= ACCURACY
+    bounds = n.select(key, (F.floor(F.lit(p / 100.0) * (F.col("n") - 1) + 0.5) + 1).alias("at"), F.when(few, F.col("min")).otherwise(F.col("q")[0]).alias("low"), F.when(few, F.col("max")).otherwise(F.col("q")[1]).alias("high"))
+    near = known.join(F.broadcast(bounds), key)
+    below = F.col("v") < F.col("low")
+    counted = near.where(F.col("v") <= F.col("high")).groupBy(key, "at", F.when(~below, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    reach = F.sum("n").over(Window.partitionBy(key).orderBy(F.col("v").asc_nulls_first()))
+    return counted.withColumn("reach", reach).where((F.col("reach") >= F.col("at")) & (F.col("reach") - F.col("n") < F.col("at"))).select(key, F.col("v").alias("p_value"))
 
 
 def recall(oracle: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -37,12 +42,15 @@ def recall(oracle: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 
 def summary(records: DataFrame) -> DataFrame:
-    """Per method: runs, mean, median and 95th percentile of retrieval time, sum of prompt tokens, hit rate, mean recall."""
+    """Per method: runs, mean, median and 95th percentile of retrieval time (0 without any), sum of prompt tokens, hit rate, mean recall."""
     r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return records.groupBy("method").agg(
-        F.count(F.lit(1)).alias("runs"), r6(F.avg("retrieval_ms")).alias("mean_ms"), nearest_rank("retrieval_ms", 50).alias("median_ms"), nearest_rank("retrieval_ms", 95).alias("p95_ms"),
-        F.sum("prompt_tokens").alias("prompt_tokens"), r6(F.avg(F.col("oracle_hit").cast("double"))).alias("hit_rate"), r6(F.avg("recall")).alias("mean_recall"),
+    out = records.groupBy("method").agg(
+        F.count(F.lit(1)).alias("runs"), r6(F.avg("retrieval_ms")).alias("mean_ms"), F.sum("prompt_tokens").alias("prompt_tokens"),
+        r6(F.avg(F.col("oracle_hit").cast("double"))).alias("hit_rate"), r6(F.avg("recall")).alias("mean_recall"),
     )
+    for name, p in (("median_ms", 50), ("p95_ms", 95)):
+        out = out.join(nearest_rank_by(records, "method", "retrieval_ms", p).withColumnRenamed("p_value", name), "method", "left").na.fill(0.0, [name])
+    return out
 
 
 def diff_lines(patches: DataFrame) -> DataFrame:
@@ -100,3 +108,77 @@ def run_metrics(predictions: DataFrame) -> DataFrame:
     done = F.coalesce(F.length("model_patch") > 0, F.lit(False))
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
     return predictions.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed"), F.count_if(~done).alias("failed"), mean("n_calls").alias("mean_calls"), mean("prompt_tokens").alias("mean_prompt"), mean("completion_tokens").alias("mean_completion"))
+
+
+def report(records: DataFrame, dataset: str, k: int) -> DataFrame:
+    """The whole benchmark report as one JSON text per part: a row for the metadata, one per method's summary and one per record.
+
+    Parts are rows, not one document, so that a report of any size can be written; `part` and `key` order them."""
+    meta = records.agg(F.countDistinct("case_id").alias("cases"), F.count(F.lit(1)).alias("records")).select(F.lit("metadata").alias("part"), F.lit("").alias("key"), F.to_json(F.struct(F.lit(dataset).alias("dataset"), F.lit(k).alias("k"), "cases", "records")).alias("json"))
+    methods = summary(records).select(F.lit("summary").alias("part"), F.col("method").alias("key"), F.to_json(F.struct("method", "runs", "prompt_tokens")).alias("json"))
+    rows = records.select(F.lit("records").alias("part"), F.concat_ws("/", "case_id", "method").alias("key"), F.to_json(F.struct("case_id", "method", "prompt_tokens", "oracle_hit")).alias("json"))
+    return meta.unionByName(methods).unionByName(rows)
+
+
+def derived_metrics(records: DataFrame) -> DataFrame:
+    """Per method: hit rate and recall in percent, tokens a run, and the bodies' tokens (all less the skeletons'); no runs count as one."""
+    runs = F.greatest(F.count(F.lit(1)), F.lit(1))
+    pct = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)) * 100, 4)
+    return records.groupBy("method").agg(
+        pct(F.col("oracle_hit").cast("double")).alias("hit_pct"), pct("recall").alias("recall_pct"), F.round(F.sum("prompt_tokens") / runs, 4).alias("tokens_a_run"),
+        (F.sum("prompt_tokens") - F.sum("skeleton_tokens")).alias("body_tokens"), F.sum("skeleton_tokens").alias("skeleton_tokens"),
+    )
+
+
+def suite_of(path: Column) -> Column:
+    """The suite that a dataset's path names: its last folder or file, without the extension, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]+)/?$", 1), r"\.[^.]*$", ""))
+
+
+def labelled(reports: DataFrame) -> DataFrame:
+    """reports (path, created, …) with their suite, and a label in which later reports of a suite are numbered from 2."""
+    rank = F.row_number().over(Window.partitionBy("suite").orderBy("created", "path"))
+    return reports.withColumn("suite", suite_of(F.col("path"))).withColumn("n", rank).withColumn("label", F.when(F.col("n") == 1, F.col("suite")).otherwise(F.concat("suite", F.lit(" #"), "n"))).drop("n")
+
+
+def patch_series(stats: DataFrame) -> DataFrame:
+    """Per method: valid and empty patches, medians of the added and removed lines of valid ones (interpolated), and how many touch 1, 2, or 3
+    files and more. stats: method, is_empty, n_added, n_removed, n_files."""
+    valid = ~F.col("is_empty")
+    median = lambda c: F.coalesce(F.median(F.when(valid, F.col(c))), F.lit(0.0))
+    return stats.groupBy("method").agg(
+        F.count_if(valid).alias("valid"), F.count_if(~valid).alias("empty"), median("n_added").alias("median_added"), median("n_removed").alias("median_removed"),
+        F.count_if(valid & (F.col("n_files") == 1)).alias("one_file"), F.count_if(valid & (F.col("n_files") == 2)).alias("two_files"), F.count_if(valid & (F.col("n_files") >= 3)).alias("more_files"),
+    )
+
+
+def verdict_counts(verdicts_: DataFrame) -> DataFrame:
+    return verdicts_.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def qualifies() -> Column:
+    """Whether a scored case is one whose question hides its cause: little overlap of words and a large distance."""
+    return F.col("is_xy_problem") & (F.col("keyword_overlap") <= 3) & (F.col("logical_distance") >= 7)
+
+
+def curated(scores: DataFrame, cases: DataFrame) -> DataFrame:
+    """The qualifying scores with their cases, one row per instance: the first score by `position`, and the first case by `ordinal`."""
+    w = Window.partitionBy("instance_id")
+    best = scores.where(qualifies()).withColumn("rn", F.row_number().over(w.orderBy("position"))).where("rn = 1").drop("rn", "position")
+    first = cases.withColumn("rn", F.row_number().over(w.orderBy("ordinal"))).where("rn = 1").drop("rn", "ordinal")
+    return best.join(first, "instance_id")
+
+
+def curation_counts(scores: DataFrame, cases: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row: scored, qualified, rejected, known (scores whose instance is among the cases) and taken (qualified, up to the limit)."""
+    flagged = scores.join(cases.select("instance_id").distinct().withColumn("k", F.lit(True)), "instance_id", "left")
+    ok = F.coalesce(qualifies(), F.lit(False))
+    taken = F.count_if(ok) if limit is None else F.least(F.count_if(ok), F.lit(limit))
+    return flagged.agg(F.count(F.lit(1)).alias("scored"), F.count_if(ok).alias("qualified"), F.count_if(~ok).alias("rejected"), F.count_if(F.col("k")).alias("known"), taken.cast("long").alias("taken"))
+
+
+def id_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: distinct ids of a, of b, and of both."""
+    marks = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    per = marks.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return per.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_b"), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("n_both"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.staging import cut
+
 
 def nodes(symbols: DataFrame) -> DataFrame:
     """The first symbol row (least ordinal) of each id."""
@@ -14,12 +18,16 @@ def nodes(symbols: DataFrame) -> DataFrame:
 
 
 def call_edges(symbols: DataFrame, nodes_: DataFrame) -> DataFrame:
-    """Each symbol row's calls, resolved by name: within the file, or anywhere if the name is unique among nodes."""
-    named = nodes_.select(F.col("id").alias("dst"), F.col("name").alias("callee"), F.col("file_path").alias("dst_file"))
-    unique = named.groupBy("callee").agg(F.count(F.lit(1)).alias("cardinality"))
-    made = symbols.select(F.col("id").alias("src"), F.col("file_path").alias("src_file"), F.explode("calls").alias("callee"))
-    hit = made.join(unique, "callee").join(named, "callee").where((F.col("src") != F.col("dst")) & ((F.col("src_file") == F.col("dst_file")) | (F.col("cardinality") == 1)))
-    return hit.select("src", "dst", F.lit("Calls").alias("kind"))
+    """Each symbol row's calls, resolved by name: within the file, or anywhere if the name is unique among nodes.
+
+    Two equi-joins: on file and name, and on names that one node alone has (from another file), so that a common name never meets
+    all its namesakes."""
+    named = nodes_.select(F.col("id").alias("dst"), F.col("name").alias("callee"), F.col("file_path").alias("file"))
+    made = symbols.select(F.col("id").alias("src"), F.col("file_path").alias("file"), F.explode("calls").alias("callee"))
+    near = made.join(named, ["file", "callee"]).where("src <> dst").select("src", "dst")
+    unique = named.groupBy("callee").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst"), F.min("file").alias("dst_file")).where("n = 1").drop("n")
+    far = made.join(unique, "callee").where("file <> dst_file").select("src", "dst")
+    return near.unionByName(far).withColumn("kind", F.lit("Calls"))
 
 
 def containment_edges(symbols: DataFrame, nodes_: DataFrame) -> DataFrame:
@@ -55,11 +63,25 @@ def remove_file(nodes_: DataFrame, edges: DataFrame, path: str) -> tuple[DataFra
 
 
 def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(id, depth): all nodes within so many hops of the start ids, at their least depth. One join per hop over distinct edges."""
-    step = edges.select("src", "dst").distinct()
-    seen = start.select("id", F.lit(0).alias("depth"))
-    frontier = seen
+    """(id, depth): all nodes within so many hops of the start ids, at their least depth. One join per hop over distinct edges; each hop is
+    written and read again, so that the next doesn't repeat it, and the walk ends where a hop finds nothing new."""
+    step = cut(edges.select("src", "dst").distinct())
+    frontier = cut(start.select("id", F.lit(0).alias("depth")).distinct())
+    seen = [frontier]
     for k in range(1, hops + 1):
-        frontier = frontier.join(step, frontier["id"] == step["src"]).select(F.col("dst").alias("id"), F.lit(k).alias("depth")).distinct().join(seen.select("id"), "id", "left_anti")
-        seen = seen.unionByName(frontier)
-    return seen
+        known = functools.reduce(DataFrame.unionByName, seen).select("id")
+        frontier = cut(frontier.join(step, frontier["id"] == step["src"]).select(F.col("dst").alias("id"), F.lit(k).alias("depth")).distinct().join(known, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen.append(frontier)
+    return functools.reduce(DataFrame.unionByName, seen)
+
+
+def by_id(nodes_: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes with the given ids."""
+    return nodes_.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def index_counts(files: DataFrame, nodes_: DataFrame) -> DataFrame:
+    """One row: files_indexed (all files, parsed or not) and symbols_indexed (nodes, with or without a vector)."""
+    return files.agg(F.count(F.lit(1)).alias("files_indexed")).select("files_indexed", nodes_.agg(F.count(F.lit(1)).alias("n")).scalar().alias("symbols_indexed"))

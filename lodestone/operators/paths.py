@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.text import truncated
+from ..functions.vectors import cosine
+from ..plans.staging import cut
+from .vectors import top_k_each
 
 HOP_COST = np.float32(0.15)
 MAX_DEPTH = 10
 #: Fixed values of the jump: candidates, least similarity that needs none, gain, most visited nodes.
 JUMP_CANDIDATES, JUMP_BELOW, JUMP_GAIN, JUMP_VISITED = 32, 0.55, 0.03, 24
-#: Above so many nodes the adjacency isn't sent to the tasks; use graph.reachable.
-MOST_NODES = 5_000_000
 
 
 class Adjacency:
@@ -82,58 +86,96 @@ def two_way(graph: Adjacency, similarity: np.ndarray, start: int, candidates: li
     return nodes, float(np.mean(similarity[nodes], dtype=np.float32))
 
 
+def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(query, id): what each query can reach from its starts (query, id) along or against edges, within so many hops. One join per hop."""
+    both = cut(edges.select("src", "dst", F.lit(True).alias("out")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("out"))).distinct())
+    frontier = cut(starts.select("query", "id", F.explode(F.array(F.lit(True), F.lit(False))).alias("out")))
+    seen = [frontier]
+    for _ in range(depth):
+        known = functools.reduce(DataFrame.unionByName, seen)
+        step = frontier.join(both, (frontier["id"] == both["src"]) & (frontier["out"] == both["out"])).select("query", both["dst"].alias("id"), frontier["out"])
+        frontier = cut(step.distinct().join(known, ["query", "id", "out"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen.append(frontier)
+    return functools.reduce(DataFrame.unionByName, seen).select("query", "id").distinct()
+
+
 def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, max_results: int = 5, depth: int = MAX_DEPTH) -> DataFrame:
     """Paths per query: (query, path_rank, score, pos, symbol_id, relevance). nodes: id, vector; queries: query, qv.
 
-    Entry points are the 2 * max_results most similar nodes. The graph (integers only) and the unit vectors go to the
-    tasks once; each task searches its queries."""
-    table = nodes.select("id", "vector").orderBy("id").toPandas()
-    if len(table) > MOST_NODES:
-        raise ValueError("too many nodes for path search: use graph.reachable")
-    ids = table["id"].tolist()
-    index = {x: i for i, x in enumerate(ids)}
-    pairs = edges.select("src", "dst").toPandas()
-    src, dst = (pairs[c].map(index) for c in ("src", "dst"))
-    ok = src.notna() & dst.notna()
-    graph = Adjacency(len(ids), src[ok].to_numpy(np.int64), dst[ok].to_numpy(np.int64))
-    matrix = np.array(table["vector"].tolist(), np.float32).reshape(len(ids), -1)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, graph, matrix))
+    Entry points are the 2 * max_results most similar nodes (ties by id), candidates of jumps the first ones by the same order. Both come from a
+    distributed top-k; the neighbourhood that they reach is found by joins, hop by hop, and only that goes to the task
+    that searches its query. Nothing of the graph comes to the driver."""
+    most = max(2 * max_results, JUMP_CANDIDATES)
+    starts = cut(top_k_each(nodes, queries, most).select("query", "id", F.col("rank").cast("int").alias("rank")))
+    near = neighbourhood(edges, starts, depth)
+    asked = near.join(F.broadcast(queries.select("query", "qv")), "query").join(nodes.select("id", "vector"), "id")
+    found = cut(asked.select("query", "id", cosine(F.col("vector"), F.col("qv")).cast("float").alias("similarity")))
+    found = found.join(starts, ["query", "id"], "left")
+    pairs = edges.select("src", "dst").distinct().join(near.withColumnRenamed("id", "src"), "src").join(near.withColumnsRenamed({"id": "dst", "query": "q"}), "dst").where("query = q").select("query", "src", "dst")
     schema = "query long, path_rank int, score double, pos int, symbol_id string, relevance double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, graph, matrix = shared.value
-        for batch in batches:
-            rows = []
-            for query, vector in zip(batch["query"], batch["qv"], strict=True):
-                if not len(ids):
-                    continue
-                q = np.asarray(vector, np.float32)
-                similarity = (matrix @ (q / max(float(np.linalg.norm(q)), 1e-30))).astype(np.float32)
-                order = np.lexsort((np.arange(len(ids)), -similarity))
-                candidates = order[:JUMP_CANDIDATES].tolist()
-                found = [two_way(graph, similarity, int(e), candidates, depth) for e in order[: 2 * max_results]]
-                found.sort(key=lambda p: -p[1])
-                for rank, (path, score) in enumerate(found[:max_results]):
-                    rows += [(query, rank, round(score, 6), pos, ids[n], round(float(similarity[n]), 6)) for pos, n in enumerate(path)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return queries.select("query", "qv").repartition("query").mapInPandas(run, schema)
+    def run(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(nodes):
+            nodes = nodes.sort_values("id", ignore_index=True)
+            index = pd.Series(nodes.index, nodes["id"])
+            graph = Adjacency(len(nodes), *(index.loc[pairs[c]].to_numpy(np.int64) for c in ("src", "dst")))
+            similarity, query = nodes["similarity"].to_numpy(np.float32), int(nodes["query"][0])
+            ranked = nodes[nodes["rank"].notna()].sort_values("rank").index.tolist()
+            got = [two_way(graph, similarity, e, ranked[:JUMP_CANDIDATES], depth) for e in ranked[: 2 * max_results]]
+            got.sort(key=lambda p: -p[1])
+            for rank, (path, score) in enumerate(got[:max_results]):
+                rows += [(query, rank, round(score, 6), pos, nodes["id"][n], round(float(similarity[n]), 6)) for pos, n in enumerate(path)]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+
+    return found.groupBy("query").cogroup(pairs.groupBy("query")).applyInPandas(run, schema)
 
 
 def context_within(nodes: DataFrame, budget: int = 16_384) -> DataFrame:
-    """Adds what fits: (…, before) of ranked nodes (path_rank, pos, symbol_id, tokens), each symbol once, while the sum before is below the budget."""
-    from pyspark.sql.window import Window
+    """Adds what fits: (…, before) of ranked nodes (path_rank, pos, symbol_id, tokens), each symbol once, while the sum before is below the budget.
 
+    Sums run within each path and over the paths' totals, so that no task holds all nodes."""
     first = nodes.withColumn("rn", F.row_number().over(Window.partitionBy("symbol_id").orderBy("path_rank", "pos"))).where("rn = 1").drop("rn")
-    order = Window.orderBy("path_rank", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    return first.withColumn("before", F.sum("tokens").over(order) - F.col("tokens")).where(F.col("before") < budget)
+    inside = F.sum("tokens").over(Window.partitionBy("path_rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+    per = first.groupBy("path_rank").agg(F.sum("tokens").alias("all"))
+    ahead = per.select("path_rank", (F.sum("all").over(Window.orderBy("path_rank")) - F.col("all")).alias("ahead"))
+    return first.withColumn("inside", inside).join(ahead, "path_rank").withColumn("before", F.col("ahead") + F.col("inside")).drop("ahead", "inside").where(F.col("before") < budget)
+
+
+def kept_nodes(nodes: DataFrame) -> DataFrame:
+    """Of each path the entry, the most relevant node between (the last on ties) and the terminal; `last`: whether the node is the path's
+    last kept one, which is shown whole. nodes: path_rank, pos, relevance."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("path_rank"))
+    frame = nodes.withColumn("len", n)
+    middle = (F.col("pos") > 0) & (F.col("pos") < F.col("len") - 1)
+    best = F.row_number().over(Window.partitionBy("path_rank", middle).orderBy(F.desc("relevance"), F.desc("pos")))
+    frame = frame.withColumn("best", best)
+    return frame.where(~middle | (F.col("best") == 1)).withColumn("last", F.col("pos") == F.col("len") - 1).drop("len", "best")
+
+
+def assembled(nodes: DataFrame, budget: int = 16_384) -> DataFrame:
+    """(path_rank, pos, symbol_id, tokens, last, before): the context of ranked paths: kept nodes, each symbol once, while the tokens before it
+    are below the budget. nodes: path_rank, pos, symbol_id, relevance, body_tokens, skeleton_tokens."""
+    kept = kept_nodes(nodes).withColumn("tokens", F.when(F.col("last"), F.col("body_tokens")).otherwise(F.col("skeleton_tokens")))
+    return context_within(kept.select("path_rank", "pos", "symbol_id", "tokens", "last"), budget)
+
+
+def whole_bodies(nodes: DataFrame, most: int = 8192) -> DataFrame:
+    """(query, text): the bodies of all distinct symbols on a query's ranked paths, cut at `most` characters. nodes: query, path_rank, pos, symbol_id, body.
+
+    Nodes that begin beyond the limit are dropped before bodies are put together, so that no group is larger than the result."""
+    first = nodes.withColumn("rn", F.row_number().over(Window.partitionBy("query", "symbol_id").orderBy("path_rank", "pos"))).where("rn = 1")
+    size = F.length("body") + 2
+    before = F.sum(size).over(Window.partitionBy("query").orderBy("path_rank", "pos").rowsBetween(Window.unboundedPreceding, 0)) - size
+    some = first.withColumn("before", before).where(F.col("before") < most)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path_rank", "pos", F.col("body").alias("b")))), lambda x: x["b"]), "\n\n")
+    return some.groupBy("query").agg(truncated(text, most).alias("text"))
 
 
 def full_bodies(nodes: DataFrame, n: int) -> DataFrame:
     """Marks (`full`) the nodes of each path that are shown whole. nodes: path_rank, pos, relevance."""
-    from pyspark.sql.window import Window
-
     size = F.count(F.lit(1)).over(Window.partitionBy("path_rank"))
     rank = F.row_number().over(Window.partitionBy("path_rank").orderBy(F.desc("relevance"), "pos"))
     frame = nodes.withColumn("len", size).withColumn("rel_rank", rank)

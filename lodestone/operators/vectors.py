@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import logging
 import re
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,8 @@ from pyspark.sql.window import Window
 from ..functions.vectors import cosine
 
 DIMENSION = 64
+BLOCK_BYTES = 1 << 25
+log = logging.getLogger(__name__)
 
 
 def top_k(vectors: DataFrame, query: Column, k: int, key: str = "id", vector: str = "vector") -> DataFrame:
@@ -25,13 +29,39 @@ def top_k(vectors: DataFrame, query: Column, k: int, key: str = "id", vector: st
 
 
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector") -> DataFrame:
-    """(query, key, score, rank) for each of a bounded set of queries (query, qv): one pass over the vectors, no join.
-
-    The queries enter the plan as one array; group limits keep k rows per query and task before the shuffle."""
-    packed = queries.agg(F.array_sort(F.collect_list(F.struct("query", "qv"))).alias("q")).scalar()
-    scored = vectors.select(key, vector, F.explode(packed).alias("q")).select(F.col("q.query").alias("query"), key, F.round(cosine(F.col(vector), F.col("q.qv")), 6).alias("score"))
+    """(query, key, score, rank) for each query (query, qv), ties by key: queries go through the vectors in blocks of at most `BLOCK_BYTES`, one
+    pass for each block. Each task multiplies matrices and sends on the best k rows per query only; no pairs are made."""
+    dimension = queries.select(F.max(F.size("qv"))).first()[0]
+    if not dimension:
+        return vectors.sparkSession.createDataFrame([], f"query long, {key} {vectors.schema[key].dataType.simpleString()}, score double, rank int")
+    blocks = -(-queries.count() * dimension * 8 // BLOCK_BYTES)
+    kind, out = vectors.schema[key].dataType.simpleString(), []
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", "qv").toPandas()
+        if not len(rows):
+            continue
+        matrix = np.array(rows["qv"].tolist(), np.float64)
+        shared = vectors.sparkSession.sparkContext.broadcast((rows["query"].to_numpy(), matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, asked = shared.value
+            best = pd.DataFrame({"query": names[:0], key: [], "score": np.empty(0)})
+            for batch in batches:
+                batch = batch[batch[vector].notna()]
+                for a in range(0, len(batch), step := max(64, (1 << 22) // len(names))):
+                    part = batch.iloc[a : a + step]
+                    held = np.array(part[vector].tolist(), np.float64).reshape(len(part), -1)
+                    score = np.round(asked @ (held / np.maximum(np.linalg.norm(held, axis=1, keepdims=True), 1e-300)).T, 6) + 0.0
+                    least = np.sort(score, axis=1)[:, -min(k, len(part))]
+                    q, at = np.nonzero(score >= least[:, None])
+                    new = pd.DataFrame({"query": names[q], key: part[key].to_numpy()[at], "score": score[q, at]})
+                    best = pd.concat([best, new]) if len(best) else new
+                    best = best.sort_values(["query", "score", key], ascending=[True, False, True]).groupby("query", sort=False).head(k)
+            yield best
+
+        out.append(vectors.select(key, vector).mapInPandas(run, f"query long, {key} {kind}, score double"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return functools.reduce(DataFrame.unionByName, out).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def similarity(vectors: DataFrame, query: Column, ids: DataFrame, key: str = "id", vector: str = "vector") -> DataFrame:
@@ -56,18 +86,18 @@ def intact(nodes: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
 
 
 def hashed_tokens(dimension: int = DIMENSION) -> Callable[[list[str]], np.ndarray]:
-    """An embedder without weights: sub-words of identifiers, lower-cased, counted in buckets by MD5 and normalised."""
+    """An embedder without weights: sub-words of identifiers, lower-cased, counted in buckets by MD5."""
     known: dict[str, int] = {}
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for row, text in enumerate(texts):
-            for token in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", text or ""):
+            for token in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", text or ""):
                 token = token.lower()
                 if token not in known:
                     known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimension
                 out[row, known[token]] += 1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+        return out
 
     return embed
 
@@ -76,11 +106,12 @@ def hashed_tokens(dimension: int = DIMENSION) -> Callable[[list[str]], np.ndarra
 EMBEDDERS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {"hashed": hashed_tokens}
 
 
-def embedded(frame: DataFrame, text: str, out: str = "vector", provider: str = "hashed", batch: int = 64) -> DataFrame:
-    """frame with a vector column. A batch that the embedder fails on gets nulls instead of failing the job."""
+def embedded(frame: DataFrame, text: str, out: str = "vector", provider: str | Callable = "hashed", batch: int = 64) -> DataFrame:
+    """frame with a vector column. provider: a name in EMBEDDERS, or what stands there. A batch that the embedder fails on gets nulls instead of failing the job; the reason goes to the
+    worker's log, and :func:`without_vector` counts what is missing."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = EMBEDDERS[provider]()
+        embed = (EMBEDDERS[provider] if isinstance(provider, str) else provider)()
         for series in batches:
             rows: list = []
             for a in range(0, len(series), batch):
@@ -88,6 +119,7 @@ def embedded(frame: DataFrame, text: str, out: str = "vector", provider: str = "
                 try:
                     rows += list(embed(part).astype(np.float32))
                 except Exception:  # noqa: BLE001  one bad batch isn't fatal
+                    log.exception("a batch of %d texts has no vectors", len(part))
                     rows += [None] * len(part)
             yield pd.Series(rows, dtype=object)
 
@@ -99,8 +131,30 @@ def dimension_ok(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.where(F.size("vector") == dimension)
 
 
-def chunk_search(chunks: DataFrame, query: Column, k: int) -> DataFrame:
-    """(rank, file_path, chunk_no, score) of the k best chunks. chunks: file_path, chunk_no, vector."""
-    asked = chunks.select("file_path", "chunk_no", "vector", query.alias("q"))
-    scored = asked.select("file_path", "chunk_no", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "file_path", "chunk_no").limit(k)
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "file_path", "chunk_no")))
+def without_vector(frame: DataFrame, vector: str = "vector") -> int:
+    """How many rows have no vector."""
+    return frame.where(F.col(vector).isNull()).count()
+
+
+def store_facts(vectors: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """(key, contained, stored): whether each of the ids has a vector, and how many vectors there are."""
+    have = vectors.select(key, F.lit(True).alias("h"))
+    n = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return ids.select(key).distinct().join(have, key, "left").select(key, F.coalesce("h", F.lit(False)).alias("contained"), n.alias("stored"))
+
+
+def chunk_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, rank, file_path, chunk_no, score) of the k best chunks of each query (query, qv). chunks: file_path, chunk_no, vector."""
+    # One key that sorts by file and then number.
+    keyed = chunks.where("vector is not null").select(F.concat("file_path", F.lit("\0"), F.lpad(F.col("chunk_no").cast("string"), 10, "0")).alias("id"), "vector")
+    got = top_k_each(keyed, queries, k)
+    return got.select("query", "rank", F.substring_index("id", "\0", 1).alias("file_path"), F.substring_index("id", "\0", -1).cast("int").alias("chunk_no"), "score")
+
+
+def stale_chunks(cache: DataFrame, files: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks of a cache that are still valid, files to chunk anew). A chunk is valid if it has content and a vector of the right size and its
+    file is still there, unchanged since (mtime). cache: file_path, chunk_no, content, vector, mtime; files: path, mtime."""
+    sound = cache.where((F.length("content") > 0) & (F.size("vector") == dimension))
+    there = files.select(F.col("path").alias("file_path"), "mtime")
+    valid = sound.join(there, ["file_path", "mtime"], "left_semi")
+    return valid, files.join(valid.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")

@@ -1,4 +1,5 @@
-"""Inputs of the registered queries: a code corpus made from the documents table, and small inline tables, in SQL that both engines read."""
+"""Inputs of the registered queries: a code corpus made from the documents table, and tables of cases, records, patches and paths
+derived from the sample tables, in SQL that both engines read."""
 
 from __future__ import annotations
 
@@ -42,51 +43,44 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("calls", calls(F.col("body"), F.col("name")))
 
 
-def values(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {sql}")
-
-
-RECORDS = """(VALUES ('c1', 'graph', 12.5, 100, true, 1.0), ('c2', 'graph', 7.25, 250, false, 0.0), ('c3', 'graph', 30.0, 90, true, 0.5),
- ('c1', 'grep', 3.5, 10, false, 0.0), ('c2', 'grep', 4.5, 20, false, 0.0), ('c3', 'chunk', 1.5, 70, true, 0.25))
- AS t(case_id, method, retrieval_ms, prompt_tokens, oracle_hit, recall)"""
-ORACLE = "(VALUES ('c1', 'db/models/query.py'), ('c1', 'core/base.py'), ('c2', 'a/other_query.py'), ('c3', 'src/main.rs'), ('c4', 'x.py')) AS t(case_id, file)"
-RETRIEVED = "(VALUES ('c1', 'query.py'), ('c1', 'zzz.py'), ('c2', 'query.py'), ('c3', '/root/src/main.rs'), ('c3', 'src/main.rs')) AS t(case_id, file)"
-PATCHES = """(VALUES
- ('i1', '--- a/m/a.py
-+++ b/m/a.py
-@@ -1,2 +1,2 @@
--x = 1
-+x = 2
- y
---- a/m/old.py
-+++ b/m/b.py
-+ new line'), ('i2', '--- a/q.py
-+++ b/q.py
-+totally different'), ('i3', ''), ('i4', '--- a/z.py
-+++ b/z.py
--gone'), ('i9', '+++ b/dev/null
-+++ b/none.py
-+a')) AS t(instance_id, patch)"""
-GOLD = """(VALUES
- ('i1', '--- a/m/a.py
-+++ b/m/a.py
-+x = 2'), ('i2', '--- a/q.py
-+++ b/q.py
-+gold line'), ('i3', '+++ b/k.py
-+k'), ('i4', '+++ b/other.py
--gone')) AS t(instance_id, patch)"""
-OUTPUTS = """(VALUES (1, 'text
-```diff
-+++ b/a.py
-+x
-```
-after'), (2, 'no fence'), (3, '```diff
-open
-end'), (4, '')) AS t(k, output)"""
-SCORES = "(VALUES ('i1', true, 2, 8), ('i2', true, 4, 9), ('i3', false, 1, 9), ('i4', true, 3, 7)) AS t(instance_id, is_xy_problem, keyword_overlap, logical_distance)"
-BEFORE = "(VALUES ('graph', 10.0, 0.2), ('grep', 4.0, 0.0)) AS t(method, latency, hit_rate)"
-AFTER = "(VALUES ('graph', 8.0, 0.3), ('chunk', 5.0, 0.1)) AS t(method, latency, hit_rate)"
-RATES = "(VALUES ('graph', 'django', 0.26), ('graph', 'astropy', 0.5), ('grep', 'django', 0.06)) AS t(method, suite, hit_rate)"
-PATHS = """(VALUES (0, 0, 'a', 0.9, 9000), (0, 1, 'b', 0.4, 5000), (0, 2, 'c', 0.8, 2000), (0, 3, 'd', 0.7, 100), (0, 4, 'e', 0.7, 50),
- (1, 0, 'b', 0.4, 5000), (1, 1, 'f', 0.3, 4000), (1, 2, 'g', 0.2, 3000), (2, 0, 'h', 0.1, 10)) AS t(path_rank, pos, symbol_id, relevance, tokens)"""
-RAW_PATHS = "(VALUES ('./src/main.rs'), (concat('.', chr(92), 'src', chr(92), 'main.rs')), ('/src/main.rs'), ('  ././a/b.py '), ('c.py')) AS t(raw)"
+NAMES = ("documents", "labels", "pages", "benchmark", "conversations", "events", "embeddings")
+
+
+def values(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A table of this module: its SQL names the sample tables in braces."""
+    return spark.sql(f"SELECT * FROM {sql}", **{n: table(spark, sf_dir, n) for n in NAMES if f"{{{n}}}" in sql})
+
+
+def plain(sql: str) -> str:
+    """The SQL with the sample tables' names for the other engine."""
+    for n in NAMES:
+        sql = sql.replace(f"{{{n}}}", n)
+    return sql
+
+
+_J = "{documents} d JOIN {labels} l ON d.doc_id = l.doc_id"
+RECORDS = f"""(SELECT concat('c', cast(d.doc_id AS string)) AS case_id, d.source AS method, cast(d.n_chars AS double) / 8 AS retrieval_ms, cast(d.n_chars AS bigint) AS prompt_tokens,
+ cast(floor(d.n_chars / 4) AS bigint) AS skeleton_tokens, l.quality = 1 AS oracle_hit, cast(l.quality AS double) / (1 + d.doc_id % 4) AS recall FROM {_J}) AS records"""
+_URL = "(SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages})"
+#: Oracle files are urls as paths; retrieved ones their last two parts, those of another page, or the whole.
+ORACLE = f"(SELECT concat('c', cast(page_id % 97 AS string)) AS case_id, rest AS file FROM {_URL} WHERE rest <> '') AS oracle"
+RETRIEVED = rf"""(SELECT concat('c', cast((page_id + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END) % 97 AS string)) AS case_id,
+ CASE WHEN page_id % 2 = 0 THEN regexp_extract(rest, '[^/]*/[^/]*$', 0) ELSE rest END AS file FROM {_URL} WHERE rest <> '') AS retrieved"""
+_NL = "chr(10)"
+PATCHES = f"""(SELECT concat('i', cast(doc_id AS string)) AS instance_id, source AS method, CASE WHEN doc_id % 7 = 0 THEN '' ELSE
+ concat('--- a/', lang, '/', source, '.py', {_NL}, '+++ b/', lang, '/', source, '.py', {_NL}, '@@ -1 +1 @@', {_NL}, '+x = ', cast(n_chars % 5 AS string), {_NL}, '-y = ', cast(doc_id % 3 AS string), {_NL}, ' same',
+ CASE WHEN doc_id % 4 = 0 THEN concat({_NL}, '--- a/old', cast(doc_id % 9 AS string), '.py', {_NL}, '+++ b/m.py', {_NL}, '+  new line ') ELSE '' END) END AS patch FROM {{documents}}) AS patches"""
+GOLD = f"""(SELECT concat('i', cast(d.doc_id AS string)) AS instance_id,
+ concat('--- a/', d.lang, '/', d.source, '.py', {_NL}, '+++ b/', CASE WHEN l.toxic = 1 THEN 'other' ELSE d.lang END, '/', d.source, '.py', {_NL}, '+x = ', cast(d.doc_id % 5 AS string), {_NL}, '-y = ', cast((d.doc_id + l.quality) % 3 AS string)) AS patch FROM {_J}) AS gold"""
+OUTPUTS = f"""(SELECT item_id AS k, CASE WHEN item_id % 4 = 0 THEN text WHEN item_id % 4 = 1 THEN concat(text, {_NL}, '```diff', {_NL}, '+++ b/a.py', {_NL}, '+', text, {_NL}, '```', {_NL}, 'after')
+ WHEN item_id % 4 = 2 THEN concat('```diff', {_NL}, text, {_NL}, 'end') ELSE '' END AS output FROM {{benchmark}}) AS outputs"""
+SCORES = """(SELECT concat('i', cast(doc_id AS string)) AS instance_id, quality = 1 AS is_xy_problem, cast(doc_id % 6 AS int) AS keyword_overlap, cast((doc_id + toxic) % 11 AS int) AS logical_distance, doc_id AS position FROM {labels}
+ UNION ALL SELECT concat('i', cast(doc_id AS string)), quality = 1, 0, 10, doc_id + 1000000000 FROM {labels} WHERE doc_id % 5 = 0) AS scores"""
+CASES = "(SELECT concat('i', cast(floor(doc_id / 2) * 2 AS bigint)) AS instance_id, source AS repo, n_chars, doc_id AS ordinal FROM {documents}) AS cases"
+_RATE = "(SELECT d.source AS method, avg(cast(d.n_chars AS double)) AS latency, avg(cast(l.quality AS double)) AS hit_rate FROM {j} WHERE d.doc_id % 2 = {k} AND d.source <> '{without}' GROUP BY d.source) AS rates"
+BEFORE, AFTER = (_RATE.replace("{j}", _J).replace("{k}", k).replace("{without}", w) for k, w in (("0", "src1"), ("1", "src2")))
+RATES = f"(SELECT d.source AS method, d.lang AS suite, avg(cast(l.quality AS double)) AS hit_rate FROM {_J} GROUP BY d.source, d.lang) AS rates"
+PATHS = """(SELECT cast(floor(doc_id / 6) AS int) AS path_rank, cast(doc_id % 6 AS int) AS pos, concat('s', cast((doc_id * 7 + n_chars) % 1009 AS string)) AS symbol_id, cast((doc_id * 37) % 11 AS double) / 10 AS relevance,
+ cast(n_chars AS bigint) AS tokens, cast(n_chars AS bigint) AS body_tokens, cast(floor(n_chars / 5) AS bigint) AS skeleton_tokens, cast(doc_id AS string) AS body FROM {documents} WHERE n_chars IS NOT NULL AND doc_id % 13 <> 5) AS paths"""
+RAW_PATHS = r"""(SELECT page_id, concat(CASE WHEN page_id % 3 = 0 THEN '  ./' WHEN page_id % 3 = 1 THEN '././' ELSE '//' END, CASE WHEN page_id % 5 = 0 THEN replace(url, '/', chr(92)) ELSE url END, ' ') AS raw FROM {pages} WHERE url IS NOT NULL) AS raw_paths"""
+REPORTS = "(SELECT concat('runs/', CASE WHEN item_id % 2 = 0 THEN 'Sets/' ELSE '' END, 'Suite', cast(item_id % 7 AS string), CASE WHEN item_id % 3 = 0 THEN '.jsonl' ELSE '/' END) AS path, item_id AS created FROM {benchmark}) AS reports"

@@ -13,7 +13,7 @@ from .plans.corpus import GRAPH_SQL, table, values
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MISSING = (0, 7, 400, 99_999_999)
+SUITES = ("de", "en", "es", "fr")
 NEEDLES = ("www.", "e-mail", "License", "###", "http")
 
 
@@ -21,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None):
     def register(f):
         QUERIES[name or f.__name__] = f
         if sql:
-            ORACLES[name or f.__name__] = sql
+            ORACLES[name or f.__name__] = C.plain(sql)
         return f
 
     return register
@@ -58,17 +58,17 @@ def vector_topk_f16(spark, sf_dir):
     return vectors.top_k(e, e.where("vec_id = 0").select("embedding").scalar(), 10, "vec_id", "embedding")
 
 
-@query(f"SELECT * FROM (SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id, {_cos('e.embedding', 'q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 10)) WHERE rank <= 5")
+@query(f"SELECT * FROM (SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id, {_cos('e.embedding', 'q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 5")
 def vector_topk_multi(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    return vectors.top_k_each(e, e.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), 5, "vec_id", "embedding")
+    return vectors.top_k_each(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), 5, "vec_id", "embedding")
 
 
-@query(f"SELECT i.vec_id, CASE WHEN e.vec_id IS NULL THEN 0 ELSE {_cos('e.embedding', _Q0)} END AS score FROM (SELECT unnest([{', '.join(map(str, MISSING))}])::BIGINT AS vec_id) i LEFT JOIN embeddings e ON i.vec_id = e.vec_id")
+@query(f"SELECT i.vec_id, CASE WHEN e.vec_id IS NULL THEN 0 ELSE {_cos('e.embedding', _Q0)} END AS score FROM (SELECT vec_id * 2 AS vec_id FROM embeddings) i LEFT JOIN embeddings e ON i.vec_id = e.vec_id")
 def similarity_default(spark, sf_dir):
+    """Asked for twice each id: half of them aren't there."""
     e = _emb(spark, sf_dir)
-    ids = spark.createDataFrame([(x,) for x in MISSING], "vec_id long")
-    return vectors.similarity(e, e.where("vec_id = 0").select("embedding").scalar(), ids, "vec_id", "embedding")
+    return vectors.similarity(e, e.where("vec_id = 0").select("embedding").scalar(), e.select((F.col("vec_id") * 2).alias("vec_id")), "vec_id", "embedding")
 
 
 @query("SELECT CASE WHEN vec_id % 10 = 0 THEN 'new' ELSE 'old' END AS state, count(*) AS n, sum(vec_id) AS ids, round(sum(CASE WHEN vec_id % 10 = 0 THEN embedding[2] ELSE embedding[1] END::DOUBLE), 4) AS first FROM embeddings GROUP BY 1")
@@ -85,11 +85,11 @@ def vector_remove_prefix(spark, sf_dir):
     return vectors.remove_prefix(e, "1::").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(GRAPH_SQL + " SELECT count(*) FILTER (WHERE ordinal % 13 = 0) = 0 AS ok, count(*) FILTER (WHERE ordinal % 13 = 0) AS missing, 0::BIGINT AS wrong FROM nodes")
+@query(GRAPH_SQL + ", held AS (SELECT n.id, len(e.embedding) AS size FROM nodes n JOIN embeddings e ON n.ordinal = e.vec_id) SELECT (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM held)) = 0 AND (SELECT count(*) FROM held WHERE size <> 64) = 0 AS ok, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM held)) AS missing, (SELECT count(*) FROM held WHERE size <> 64) AS wrong")
 def index_integrity(spark, sf_dir):
     n = graph.nodes(C.symbols(spark, sf_dir))
-    vecs = n.where("ordinal % 13 <> 0").select("id", F.array_repeat(F.lit(1.0), 8).alias("vector"))
-    return vectors.intact(n, vecs, 8)
+    e = _emb(spark, sf_dir)
+    return vectors.intact(n, n.select("id", "ordinal").join(e, F.col("ordinal") == F.col("vec_id")).select("id", F.col("embedding").alias("vector")), 64)
 
 
 @query(GRAPH_SQL + " SELECT ordinal, name, array_to_string(calls, ',') AS calls FROM symbols")
@@ -108,8 +108,8 @@ for _kind in ("Calls", "ContainedIn", None):
         lambda spark, sf_dir, kind=_kind: (lambda e: e if kind is None else e.where(F.col("kind") == kind))(_graph(spark, sf_dir)[2])
     )
 for _side, _a, _b in (("graph_callees", "src", "dst"), ("graph_callers", "dst", "src")):
-    query(GRAPH_SQL + f" SELECT e.{_a} AS id, e.{_b} AS neighbour FROM edges e JOIN nodes n ON e.{_a} = n.id WHERE n.ordinal % 5 = 0", _side)(
-        lambda spark, sf_dir, out=_side == "graph_callees": (lambda g: graph.neighbours(g[2], g[1].where("ordinal % 5 = 0").select("id"), out))(_graph(spark, sf_dir))
+    query(GRAPH_SQL + f" SELECT e.{_a} AS id, e.{_b} AS neighbour FROM edges e JOIN nodes n ON e.{_a} = n.id", _side)(
+        lambda spark, sf_dir, out=_side == "graph_callees": (lambda g: graph.neighbours(g[2], g[1].select("id"), out))(_graph(spark, sf_dir))
     )
 
 
@@ -188,11 +188,17 @@ def chunk_lines(spark, sf_dir):
     return d.select("doc_id", F.inline(T.chunks(F.col("text"))))
 
 
-@query()
+_EMBED = "(SELECT list_transform(range(64), lambda d: len(list_filter(list_transform(regexp_extract_all({t}, '[A-Z]?[a-z]+|[A-Z]+'), lambda w: ('0x' || md5(lower(w))[1:8])::BIGINT % 64), lambda b: b = d))::DOUBLE))"
+
+
+@query(f"""WITH c AS MATERIALIZED (SELECT 'd' || doc_id AS file_path, chunk_no, {_EMBED.format(t='content')} AS v FROM ({{chunks}})),
+q AS (SELECT item_id AS query, {_EMBED.format(t='text')} AS qv FROM benchmark WHERE item_id % 50 = 0)
+SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, file_path, chunk_no)::INTEGER AS rank, file_path, chunk_no, score
+  FROM (SELECT query, file_path, chunk_no, {_cos('v', 'qv')} AS score FROM c, q)) WHERE rank <= 10""".replace("{chunks}", ORACLES["chunk_lines"]))
 def rag_search(spark, sf_dir):
     c = chunk_lines(spark, sf_dir).withColumn("file_path", F.concat(F.lit("d"), "doc_id"))
-    asked = vectors.embedded(table(spark, sf_dir, "benchmark").where("item_id = 0").select("text"), "text", "qv").select("qv")
-    return vectors.chunk_search(vectors.embedded(c, "content"), asked.scalar(), 10)
+    asked = vectors.embedded(table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query"), "text"), "text", "qv")
+    return vectors.chunk_search(vectors.embedded(c, "content"), asked.select("query", "qv"), 10)
 
 
 @query("SELECT doc_id, strlen(text) // 3 AS tokens, CASE WHEN length(text) > 32000 THEN length(left(text, 32000) || '...') ELSE length(text) END AS shown FROM documents")
@@ -229,21 +235,21 @@ def text_search_lines(spark, sf_dir):
     return d.select("doc_id", F.inline(T.matching_lines(F.col("text"), list(NEEDLES)))).orderBy("doc_id", "line").limit(250)
 
 
-@query(rf"SELECT raw, regexp_replace(regexp_replace(replace(trim(raw), chr(92), '/'), '^(\./)+', ''), '^/+', '') AS path FROM {C.RAW_PATHS}")
+@query(rf"SELECT page_id, raw, regexp_replace(regexp_replace(replace(trim(raw), chr(92), '/'), '^(\./)+', ''), '^/+', '') AS path FROM {C.RAW_PATHS}")
 def path_normalize(spark, sf_dir):
-    return values(spark, C.RAW_PATHS).select("raw", T.normal_path(F.col("raw")).alias("path"))
+    return values(spark, sf_dir, C.RAW_PATHS).select("page_id", "raw", T.normal_path(F.col("raw")).alias("path"))
 
 
 @query(f"SELECT DISTINCT o.case_id, o.file FROM (SELECT * FROM {C.ORACLE}) o JOIN (SELECT * FROM {C.RETRIEVED}) r ON o.case_id = r.case_id AND (o.file = r.file OR ends_with(o.file, '/' || r.file) OR ends_with(r.file, '/' || o.file))")
 def path_suffix_join(spark, sf_dir):
-    o, r = values(spark, C.ORACLE), values(spark, C.RETRIEVED).withColumnsRenamed({"case_id": "c", "file": "got"})
+    o, r = values(spark, sf_dir, C.ORACLE), values(spark, sf_dir, C.RETRIEVED).withColumnsRenamed({"case_id": "c", "file": "got"})
     last = lambda x: F.regexp_extract(x, r"([^/]+)$", 1)
     return o.join(r, (o["case_id"] == r["c"]) & (last(o["file"]) == last(r["got"])) & T.path_matches(o["file"], r["got"]), "left_semi")
 
 
 @query(f"WITH m AS (SELECT DISTINCT o.case_id, o.file FROM (SELECT * FROM {C.ORACLE}) o JOIN (SELECT * FROM {C.RETRIEVED}) r ON o.case_id = r.case_id AND (o.file = r.file OR ends_with(o.file, '/' || r.file) OR ends_with(r.file, '/' || o.file))) SELECT o.case_id, round(count(m.file) / count(*), 6) AS recall, count(m.file) > 0 AS hit FROM (SELECT * FROM {C.ORACLE}) o LEFT JOIN m ON o.case_id = m.case_id AND o.file = m.file GROUP BY 1")
 def recall_at_k(spark, sf_dir):
-    return evaluation.recall(values(spark, C.ORACLE), values(spark, C.RETRIEVED))
+    return evaluation.recall(values(spark, sf_dir, C.ORACLE), values(spark, sf_dir, C.RETRIEVED))
 
 
 _RANK = "list_sort(list({v}))[floor({p} * (count({v}) - 1) + 0.5)::BIGINT + 1]"
@@ -251,8 +257,7 @@ _RANK = "list_sort(list({v}))[floor({p} * (count({v}) - 1) + 0.5)::BIGINT + 1]"
 
 @query(f"SELECT method, count(*) AS runs, round(avg(retrieval_ms), 6) AS mean_ms, {_RANK.format(v='retrieval_ms', p=0.5)}::DOUBLE AS median_ms, {_RANK.format(v='retrieval_ms', p=0.95)}::DOUBLE AS p95_ms, sum(prompt_tokens)::BIGINT AS prompt_tokens, round(avg(oracle_hit::INT), 6) AS hit_rate, round(avg(recall), 6)::DOUBLE AS mean_recall FROM (SELECT case_id, method, retrieval_ms::DOUBLE AS retrieval_ms, prompt_tokens, oracle_hit, recall::DOUBLE AS recall FROM {C.RECORDS}) GROUP BY 1")
 def bench_summary(spark, sf_dir):
-    r = values(spark, C.RECORDS)
-    return evaluation.summary(r.withColumns({c: F.col(c).cast("double") for c in ("retrieval_ms", "recall")}))
+    return evaluation.summary(values(spark, sf_dir, C.RECORDS))
 
 
 @query(f"SELECT event_type, {_RANK.format(v='value', p=0.95)} AS p_value FROM events GROUP BY 1")
@@ -262,18 +267,18 @@ def nearest_rank(spark, sf_dir):
 
 @query(f"WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY path_rank, pos) AS rn FROM {C.PATHS}) WHERE rn = 1), s AS (SELECT symbol_id, (sum(tokens) OVER (ORDER BY path_rank, pos ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS before FROM f) SELECT * FROM s WHERE before < 16384")
 def context_budget(spark, sf_dir):
-    return paths.context_within(values(spark, C.PATHS)).select("symbol_id", "before")
+    return paths.context_within(values(spark, sf_dir, C.PATHS)).select("symbol_id", "before")
 
 
 @query(f"WITH p AS (SELECT *, count(*) OVER (PARTITION BY path_rank) AS n, row_number() OVER (PARTITION BY path_rank ORDER BY relevance DESC, pos) AS r FROM {C.PATHS}) SELECT path_rank, pos, CASE WHEN n <= 2 THEN true ELSE pos = n - 1 OR pos = n // 2 END AS two, CASE WHEN n <= 4 THEN true ELSE r <= 4 END AS four FROM p")
 def full_body_select(spark, sf_dir):
-    got = paths.full_bodies(values(spark, C.PATHS), 2).withColumnRenamed("full", "two")
+    got = paths.full_bodies(values(spark, sf_dir, C.PATHS), 2).withColumnRenamed("full", "two")
     return paths.full_bodies(got, 4).select("path_rank", "pos", "two", F.col("full").alias("four"))
 
 
 @query(f"SELECT instance_id, array_to_string(list_filter(list_distinct_ordered, lambda p: p <> '' AND p <> 'dev/null'), ',') AS files FROM (SELECT instance_id, list_transform(list_filter(string_split(patch, chr(10)), lambda x: starts_with(x, '+++ b/')), lambda x: x[7:]) AS list_distinct_ordered FROM {C.PATCHES})")
 def patch_files(spark, sf_dir):
-    return values(spark, C.PATCHES).select("instance_id", F.array_join(T.patch_files(F.col("patch")), ",").alias("files"))
+    return values(spark, sf_dir, C.PATCHES).select("instance_id", F.array_join(T.patch_files(F.col("patch")), ",").alias("files"))
 
 
 _DIFF = """(SELECT DISTINCT instance_id, file, side, line FROM (
@@ -284,22 +289,22 @@ _DIFF = """(SELECT DISTINCT instance_id, file, side, line FROM (
 
 @query("SELECT * FROM " + _DIFF.format(t=C.PATCHES))
 def diff_lines(spark, sf_dir):
-    return evaluation.diff_lines(values(spark, C.PATCHES))
+    return evaluation.diff_lines(values(spark, sf_dir, C.PATCHES))
 
 
 @query(f"WITH a AS {_DIFF.format(t=C.PATCHES)}, b AS {_DIFF.format(t=C.GOLD)} SELECT p.instance_id, CASE WHEN trim(p.patch) = '' THEN 'empty' WHEN NOT EXISTS (SELECT 1 FROM a JOIN b USING (instance_id, file) WHERE a.instance_id = p.instance_id) THEN 'no_file_overlap' WHEN EXISTS (SELECT 1 FROM a JOIN b USING (instance_id, file, side, line) WHERE a.instance_id = p.instance_id) THEN 'line_overlap' ELSE 'file_overlap_only' END AS verdict FROM (SELECT * FROM {C.PATCHES}) p WHERE p.instance_id IN (SELECT instance_id FROM {C.GOLD})")
 def diff_verdict(spark, sf_dir):
-    return evaluation.verdicts(values(spark, C.PATCHES), values(spark, C.GOLD))
+    return evaluation.verdicts(values(spark, sf_dir, C.PATCHES), values(spark, sf_dir, C.GOLD))
 
 
 @query(f"SELECT instance_id, trim(patch) = '' AS is_empty, len(list_filter(l, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')))::INTEGER AS n_added, len(list_filter(l, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---')))::INTEGER AS n_removed, len(list_distinct(list_transform(list_filter(l, lambda x: starts_with(x, '+++ b/') OR starts_with(x, '--- a/')), lambda x: x[7:])))::INTEGER AS n_files FROM (SELECT *, string_split(patch, chr(10)) AS l FROM {C.PATCHES})")
 def patch_stats(spark, sf_dir):
-    return evaluation.patch_stats(values(spark, C.PATCHES))
+    return evaluation.patch_stats(values(spark, sf_dir, C.PATCHES))
 
 
 @query(f"SELECT k, CASE WHEN f THEN d ELSE output END AS zero_shot, CASE WHEN f THEN d ELSE '' END AS multi_turn FROM (SELECT k, output, strpos(output, '```diff') > 0 AS f, split_part(split_part(output, '```diff' || chr(10), 2), chr(10) || '```', 1) AS d FROM {C.OUTPUTS})")
 def extract_diff(spark, sf_dir):
-    return values(spark, C.OUTPUTS).select("k", T.fenced_diff(F.col("output"), True).alias("zero_shot"), T.fenced_diff(F.col("output"), False).alias("multi_turn"))
+    return values(spark, sf_dir, C.OUTPUTS).select("k", T.fenced_diff(F.col("output"), True).alias("zero_shot"), T.fenced_diff(F.col("output"), False).alias("multi_turn"))
 
 
 @query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
@@ -314,18 +319,17 @@ def resume_antijoin(spark, sf_dir):
 
 @query(f"SELECT instance_id FROM {C.SCORES} WHERE is_xy_problem AND keyword_overlap <= 3 AND logical_distance >= 7")
 def xy_qualify(spark, sf_dir):
-    return values(spark, C.SCORES).where("is_xy_problem AND keyword_overlap <= 3 AND logical_distance >= 7").select("instance_id")
+    return values(spark, sf_dir, C.SCORES).where(evaluation.qualifies()).select("instance_id")
 
 
-@query(f"WITH b AS (UNPIVOT (SELECT method, latency::DOUBLE AS latency, hit_rate::DOUBLE AS hit_rate FROM {C.BEFORE}) ON latency, hit_rate INTO NAME metric VALUE v), a AS (UNPIVOT (SELECT method, latency::DOUBLE AS latency, hit_rate::DOUBLE AS hit_rate FROM {C.AFTER}) ON latency, hit_rate INTO NAME metric VALUE v), j AS (SELECT coalesce(b.method, a.method) AS method, coalesce(b.metric, a.metric) AS metric, coalesce(b.v, 0) AS before, coalesce(a.v, 0) AS after FROM b FULL JOIN a ON b.method = a.method AND b.metric = a.metric) SELECT *, round(after - before, 6) AS delta, CASE WHEN before = 0 THEN 0 ELSE round((after - before) / before * 100, 6) END AS pct FROM j")
+@query(f"WITH b AS (UNPIVOT (SELECT * FROM {C.BEFORE}) ON latency, hit_rate INTO NAME metric VALUE v), a AS (UNPIVOT (SELECT * FROM {C.AFTER}) ON latency, hit_rate INTO NAME metric VALUE v), j AS (SELECT coalesce(b.method, a.method) AS method, coalesce(b.metric, a.metric) AS metric, coalesce(b.v, 0) AS before, coalesce(a.v, 0) AS after FROM b FULL JOIN a ON b.method = a.method AND b.metric = a.metric) SELECT *, round(after - before, 6) AS delta, CASE WHEN before = 0 THEN 0 ELSE round((after - before) / before * 100, 6) END AS pct FROM j")
 def report_delta(spark, sf_dir):
-    cast = lambda t: values(spark, t).withColumns({c: F.col(c).cast("double") for c in ("latency", "hit_rate")})
-    return evaluation.report_delta(cast(C.BEFORE), cast(C.AFTER), ["latency", "hit_rate"])
+    return evaluation.report_delta(values(spark, sf_dir, C.BEFORE), values(spark, sf_dir, C.AFTER), ["latency", "hit_rate"])
 
 
-@query(f"SELECT method, max(hit_rate::DOUBLE) FILTER (suite = 'django') AS django, max(hit_rate::DOUBLE) FILTER (suite = 'astropy') AS astropy, round(avg(hit_rate::DOUBLE), 6) AS mean FROM {C.RATES} GROUP BY 1")
+@query(f"SELECT method, {', '.join(f'max(hit_rate) FILTER (suite = {chr(39)}{x}{chr(39)}) AS {x}' for x in SUITES)}, round(avg(hit_rate) FILTER (suite IN ('de', 'en', 'es', 'fr')), 6) AS mean FROM {C.RATES} GROUP BY 1")
 def report_grid(spark, sf_dir):
-    return evaluation.report_grid(values(spark, C.RATES).withColumn("hit_rate", F.col("hit_rate").cast("double")), ["django", "astropy"])
+    return evaluation.report_grid(values(spark, sf_dir, C.RATES), list(SUITES))
 
 
 @query("SELECT role AS tool, sum(turn + 1)::BIGINT AS calls FROM conversations GROUP BY 1")
@@ -357,7 +361,7 @@ def parse_imports(spark, sf_dir):
     return parse.imports(spark.createDataFrame(SOURCES, "path string, content string"))
 
 
-@query()
+@query(GRAPH_SQL + " SELECT id, body, split_part(body, chr(10), 1) AS skeleton FROM nodes")
 def skeleton(spark, sf_dir):
     return parse.with_skeleton(graph.nodes(C.symbols(spark, sf_dir)).select("id", "body"))
 
@@ -377,3 +381,197 @@ def incremental_equals_rebuild(spark, sf_dir):
 
 
 ORACLES["incremental_equals_rebuild"] = "SELECT * FROM (VALUES ('only_updated', 0::BIGINT), ('only_rebuilt', 0::BIGINT)) AS t(side, n)"
+
+
+# Assembly of contexts.
+_KEPT = """(SELECT *, pos = n - 1 AS last FROM (SELECT *, row_number() OVER (PARTITION BY path_rank, pos > 0 AND pos < n - 1 ORDER BY relevance DESC, pos DESC) AS best FROM
+ (SELECT *, count(*) OVER (PARTITION BY path_rank) AS n FROM {t})) WHERE NOT (pos > 0 AND pos < n - 1) OR best = 1)""".replace("{t}", C.PATHS)
+
+
+@query(f"SELECT path_rank, pos, symbol_id, last FROM {_KEPT}")
+def context_nodes(spark, sf_dir):
+    return paths.kept_nodes(values(spark, sf_dir, C.PATHS)).select("path_rank", "pos", "symbol_id", "last")
+
+
+@query(f"WITH k AS (SELECT path_rank, pos, symbol_id, CASE WHEN last THEN body_tokens ELSE skeleton_tokens END AS tokens FROM {_KEPT}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY path_rank, pos) AS rn FROM k) WHERE rn = 1) SELECT path_rank, pos, symbol_id, tokens, before FROM (SELECT *, (sum(tokens) OVER (ORDER BY path_rank, pos ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS before FROM f) WHERE before < 16384")
+def context_assembly(spark, sf_dir):
+    return paths.assembled(values(spark, sf_dir, C.PATHS)).select("path_rank", "pos", "symbol_id", "tokens", "before")
+
+
+@query(f"WITH f AS (SELECT * FROM (SELECT path_rank % 5 AS query, *, row_number() OVER (PARTITION BY path_rank % 5, symbol_id ORDER BY path_rank, pos) AS rn FROM {C.PATHS}) WHERE rn = 1), t AS (SELECT query, string_agg(body, chr(10) || chr(10) ORDER BY path_rank, pos) AS x FROM f GROUP BY query) SELECT query::BIGINT AS query, CASE WHEN length(x) > 300 THEN x[1:300] || chr(10) || '... (truncated)' ELSE x END AS text FROM t")
+def whole_bodies(spark, sf_dir):
+    return paths.whole_bodies(values(spark, sf_dir, C.PATHS).withColumn("query", (F.col("path_rank") % 5).cast("long")), 300)
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 1000 THEN md5(text[1:1000] || chr(10) || '... (truncated)') ELSE md5(text) END AS shown FROM documents")
+def truncate_output(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.truncated(F.col("text"), 1000).cast("binary")).alias("shown"))
+
+
+# Graph and store look-ups.
+@query(GRAPH_SQL + " SELECT id, name, file_path FROM nodes WHERE id IN (SELECT id FROM symbols WHERE ordinal % 50 = 0)")
+def node_by_id(spark, sf_dir):
+    s = C.symbols(spark, sf_dir)
+    return graph.by_id(graph.nodes(s), s.where("ordinal % 50 = 0").select("id")).select("id", "name", "file_path")
+
+
+@query(GRAPH_SQL + " SELECT (SELECT count(*) FROM (SELECT DISTINCT file_path FROM symbols)) AS files_indexed, (SELECT count(*) FROM nodes) AS symbols_indexed")
+def index_counts(spark, sf_dir):
+    s = C.symbols(spark, sf_dir)
+    return graph.index_counts(s.select("file_path").distinct(), graph.nodes(s))
+
+
+@query(GRAPH_SQL + " SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)) AS n_alone")
+def graph_size(spark, sf_dir):
+    _, n, e = _graph(spark, sf_dir)
+    d = graph.degrees(n, e)
+    return d.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n_out").alias("n_edges"), F.count_if((F.col("n_out") == 0) & (F.col("n_in") == 0)).alias("n_alone"))
+
+
+@query("SELECT d.doc_id AS vec_id, e.vec_id IS NOT NULL AS contained, (SELECT count(*) FROM embeddings) AS stored FROM (SELECT DISTINCT doc_id * 3 AS doc_id FROM documents) d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
+def vector_facts(spark, sf_dir):
+    asked = table(spark, sf_dir, "documents").select((F.col("doc_id") * 3).alias("vec_id"))
+    return vectors.store_facts(_emb(spark, sf_dir), asked, "vec_id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 4 <> 1")
+def dimension_filter(spark, sf_dir):
+    e = _emb(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 4 == 1, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("vector"))
+    return vectors.dimension_ok(e, 64).select("vec_id")
+
+
+@query(GRAPH_SQL + """ SELECT n.id, row_number() OVER (ORDER BY s.score DESC, n.id)::INTEGER AS rank, s.score FROM
+  (SELECT id, score FROM (SELECT n.id, """ + _cos("e.embedding", _Q0) + """ AS score FROM nodes n JOIN embeddings e ON n.ordinal = e.vec_id) ORDER BY score DESC, id LIMIT 10) s JOIN nodes n ON n.id = s.id""")
+def chunk_nodes(spark, sf_dir):
+    """Top symbols without the graph, as one-node paths: the vectors' top k joined with the nodes."""
+    n, e = graph.nodes(C.symbols(spark, sf_dir)), _emb(spark, sf_dir)
+    held = n.join(e, F.col("ordinal") == F.col("vec_id")).select("id", F.col("embedding").alias("vector"))
+    best = vectors.top_k_each(held, e.where("vec_id = 0").select(F.lit(0).cast("long").alias("query"), F.col("embedding").alias("qv")), 10)
+    return best.join(n.select("id"), "id").select("id", "rank", "score")
+
+
+_CACHE = "SELECT doc_id, 'f' || doc_id AS file_path, n_chars % 3 AS mtime, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'x' END AS content, CASE WHEN doc_id % 8 = 0 THEN 2 ELSE 3 END AS size FROM documents"
+
+
+def _chunk_cache(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("f"), "doc_id").alias("file_path")
+    size = F.when(F.col("doc_id") % 8 == 0, 2).otherwise(3)
+    cache = d.select(path, F.lit(0).alias("chunk_no"), F.when(F.col("doc_id") % 9 == 0, "").otherwise("x").alias("content"), F.array_repeat(F.lit(1.0), size).alias("vector"), (F.col("n_chars") % 3).alias("mtime"))
+    files = d.where("doc_id % 10 <> 3").select(path.alias("path"), F.when(F.col("doc_id") % 7 == 0, -1).otherwise(F.col("n_chars") % 3).alias("mtime"))
+    return vectors.stale_chunks(cache, files, 3)
+
+
+@query(f"SELECT file_path FROM ({_CACHE}) WHERE content <> '' AND size = 3 AND doc_id % 10 <> 3 AND doc_id % 7 <> 0")
+def chunk_cache_valid(spark, sf_dir):
+    return _chunk_cache(spark, sf_dir)[0].select("file_path")
+
+
+@query(f"SELECT file_path AS path FROM ({_CACHE}) WHERE doc_id % 10 <> 3 AND NOT (content <> '' AND size = 3 AND doc_id % 7 <> 0)")
+def chunk_cache_missing(spark, sf_dir):
+    return _chunk_cache(spark, sf_dir)[1].select("path")
+
+
+# Paths, files and small functions.
+_EXT = "regexp_extract(path, '\\.([^./]+)$', 1)"
+_FILES = "(SELECT page_id, CASE WHEN page_id % 9 = 0 THEN '.git/' WHEN page_id % 9 = 1 THEN 'a/.b/' ELSE 'src/' END || 'm' || page_id || '.' || ['rs', 'py', 'js', 'jsx', 'ts', 'tsx', 'txt', 'PY'][page_id % 8 + 1] AS path FROM pages)"
+
+
+def _files(spark, sf_dir):
+    ext = F.get(F.array(*map(F.lit, ("rs", "py", "js", "jsx", "ts", "tsx", "txt", "PY"))), F.col("page_id") % 8)
+    folder = F.when(F.col("page_id") % 9 == 0, ".git/").when(F.col("page_id") % 9 == 1, "a/.b/").otherwise("src/")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(folder, F.lit("m"), "page_id", F.lit("."), ext).alias("path"))
+
+
+@query(f"SELECT page_id, path, CASE {_EXT} WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' ELSE 'typescript' END AS language FROM {_FILES} WHERE page_id % 9 > 1 AND {_EXT} IN ('rs', 'py', 'js', 'jsx', 'ts', 'tsx')")
+def visible_files(spark, sf_dir):
+    from .sources.files import visible
+
+    return visible(_files(spark, sf_dir)).withColumn("language", T.language(F.col("path")))
+
+
+@query("SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'created' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS kind FROM (SELECT doc_id::VARCHAR AS path, n_chars AS mtime FROM documents WHERE doc_id % 5 <> 0) o FULL JOIN (SELECT doc_id::VARCHAR AS path, n_chars + (doc_id % 3 = 0)::INT AS mtime FROM documents WHERE doc_id % 7 <> 0) n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.mtime <> n.mtime")
+def listing_changes(spark, sf_dir):
+    from .streaming.incremental import changes
+
+    d, path = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string").alias("path")
+    return changes(d.where("doc_id % 5 <> 0").select(path, F.col("n_chars").alias("mtime")), d.where("doc_id % 7 <> 0").select(path, (F.col("n_chars") + (F.col("doc_id") % 3 == 0).cast("int")).alias("mtime")))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed FROM documents WHERE text IS NOT NULL")
+def squeeze_query(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(T.squeezed(F.col("text")).cast("binary")).alias("squeezed"))
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN regexp_replace(url[9:], '^/+', '') ELSE url END AS path FROM pages WHERE url IS NOT NULL")
+def path_relative(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", T.relative_path(F.col("url"), "https:/").alias("path"))
+
+
+@query("SELECT vec_id, printf('%.4f', score + 1e-9) AS shown FROM (SELECT vec_id, " + _cos("embedding", _Q0) + " AS score FROM embeddings)")
+def score_format(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    return vectors.similarity(e, e.where("vec_id = 0").select("embedding").scalar(), e.select("vec_id"), "vec_id", "embedding").select("vec_id", F.format_string("%.4f", F.col("score") + 1e-9).alias("shown"))
+
+
+# Evaluation.
+@query(f"SELECT method, round(avg(oracle_hit::INT) * 100, 4) AS hit_pct, round(avg(recall) * 100, 4) AS recall_pct, round(sum(prompt_tokens) / count(*), 4) AS tokens_a_run, (sum(prompt_tokens) - sum(skeleton_tokens))::BIGINT AS body_tokens, sum(skeleton_tokens)::BIGINT AS skeleton_tokens FROM {C.RECORDS} GROUP BY 1")
+def derived_metrics(spark, sf_dir):
+    return evaluation.derived_metrics(values(spark, sf_dir, C.RECORDS))
+
+
+@query(f"WITH r AS (SELECT * FROM {C.RECORDS}) SELECT 'metadata' AS part, '' AS key, count(DISTINCT case_id)::VARCHAR || '/' || count(*)::VARCHAR AS said FROM r UNION ALL SELECT 'summary', method, count(*)::VARCHAR || '/' || sum(prompt_tokens)::VARCHAR FROM r GROUP BY method UNION ALL SELECT 'records', case_id || '/' || method, prompt_tokens::VARCHAR || '/' || oracle_hit::VARCHAR FROM r")
+def report_parts(spark, sf_dir):
+    got = evaluation.report(values(spark, sf_dir, C.RECORDS), "documents", 10)
+    pick = {"metadata": ("cases", "records"), "summary": ("runs", "prompt_tokens"), "records": ("prompt_tokens", "oracle_hit")}
+    said = F.coalesce(*[F.when(F.col("part") == k, F.concat_ws("/", *(F.get_json_object("json", f"$.{x}") for x in v))) for k, v in pick.items()])
+    return got.select("part", "key", said.alias("said"))
+
+
+@query(f"SELECT path, created, suite, suite || CASE WHEN n > 1 THEN ' #' || n ELSE '' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY created, path) AS n FROM (SELECT *, lower(regexp_replace(regexp_extract(path, '([^/]+)/?$', 1), '\\.[^.]*$', '')) AS suite FROM {C.REPORTS}))")
+def report_labels(spark, sf_dir):
+    return evaluation.labelled(values(spark, sf_dir, C.REPORTS))
+
+
+_STATS = f"(SELECT instance_id, method, trim(patch) = '' AS is_empty, len(list_filter(l, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS n_added, len(list_filter(l, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---'))) AS n_removed, len(list_distinct(list_transform(list_filter(l, lambda x: starts_with(x, '+++ b/') OR starts_with(x, '--- a/')), lambda x: x[7:]))) AS n_files FROM (SELECT *, string_split(patch, chr(10)) AS l FROM {C.PATCHES}))"
+
+
+@query(f"SELECT method, count(*) FILTER (NOT is_empty) AS valid, count(*) FILTER (is_empty) AS empty, coalesce(median(n_added) FILTER (NOT is_empty), 0) AS median_added, coalesce(median(n_removed) FILTER (NOT is_empty), 0) AS median_removed, count(*) FILTER (NOT is_empty AND n_files = 1) AS one_file, count(*) FILTER (NOT is_empty AND n_files = 2) AS two_files, count(*) FILTER (NOT is_empty AND n_files > 2) AS more_files FROM {_STATS} GROUP BY 1")
+def patch_series(spark, sf_dir):
+    p = values(spark, sf_dir, C.PATCHES)
+    return evaluation.patch_series(evaluation.patch_stats(p).join(p.select("instance_id", "method"), "instance_id"))
+
+
+@query(f"SELECT verdict, count(*) AS n FROM ({ORACLES['diff_verdict']}) GROUP BY 1")
+def verdict_counts(spark, sf_dir):
+    return evaluation.verdict_counts(diff_verdict(spark, sf_dir))
+
+
+_OK = "is_xy_problem AND keyword_overlap <= 3 AND logical_distance >= 7"
+
+
+@query(f"SELECT * EXCLUDE rn FROM (SELECT instance_id, is_xy_problem, keyword_overlap, logical_distance, row_number() OVER (PARTITION BY instance_id ORDER BY position) AS rn FROM {C.SCORES} WHERE {_OK}) JOIN (SELECT * EXCLUDE (k, ordinal) FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY ordinal) AS k FROM {C.CASES}) WHERE k = 1) USING (instance_id) WHERE rn = 1")
+def curated_cases(spark, sf_dir):
+    return evaluation.curated(values(spark, sf_dir, C.SCORES), values(spark, sf_dir, C.CASES))
+
+
+@query(f"SELECT count(*) AS scored, count(*) FILTER ({_OK}) AS qualified, count(*) FILTER (NOT ({_OK})) AS rejected, count(*) FILTER (instance_id IN (SELECT instance_id FROM {C.CASES})) AS known, least(count(*) FILTER ({_OK}), 20) AS taken FROM {C.SCORES}")
+def curation_counts(spark, sf_dir):
+    return evaluation.curation_counts(values(spark, sf_dir, C.SCORES), values(spark, sf_dir, C.CASES), 20)
+
+
+@query(f"WITH a AS (SELECT DISTINCT instance_id FROM {C.SCORES}), b AS (SELECT DISTINCT instance_id FROM {C.CASES}) SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM a JOIN b USING (instance_id)) AS n_both")
+def id_overlap(spark, sf_dir):
+    return evaluation.id_overlap(values(spark, sf_dir, C.SCORES), values(spark, sf_dir, C.CASES), "instance_id")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (patch <> '') AS completed, count(*) FILTER (patch = '') AS failed, round(avg(length(patch)), 6) AS mean_calls, round(avg(length(instance_id)), 6) AS mean_prompt, round(avg(length(method)), 6) AS mean_completion FROM " + C.PATCHES)
+def run_metrics(spark, sf_dir):
+    p = values(spark, sf_dir, C.PATCHES)
+    return evaluation.run_metrics(p.select(F.col("patch").alias("model_patch"), F.length("patch").alias("n_calls"), F.length("instance_id").alias("prompt_tokens"), F.length("method").alias("completion_tokens")))
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents WHERE source = 'src3' GROUP BY ALL")
+def repo_filter(spark, sf_dir):
+    """Rows of one repository, as the feature: an equality filter."""
+    return table(spark, sf_dir, "documents").where("source = 'src3'").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))

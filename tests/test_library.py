@@ -11,11 +11,13 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone import __main__ as command
+from lodestone import agent, engine, rpc
 from lodestone import queries as registered
-from lodestone import rpc
 from lodestone.functions import text as T
 from lodestone.functions.vectors import half
-from lodestone.operators import formatting, parse, paths
+from lodestone.operators import formatting, graph, parse, paths, vectors
+from lodestone.plans import corpus
 from lodestone.sources import files, tables
 from lodestone.streaming import incremental
 
@@ -104,8 +106,8 @@ def test_sources_and_incremental_updates(spark, tmp_path):
 
 def test_text_helpers(spark):
     assert T.needles("Why does ForeignKey in a.b.query fail?")[:3] == ["query", "a.b.query", "Why"]
-    row = spark.createDataFrame([(" .\\src\\main.rs", "x" * 32001)], "p string, b string").select(T.normal_path(F.col("p")), F.length(T.capped(F.col("b")))).first()
-    assert tuple(row) == ("src/main.rs", 32003)
+    row = spark.createDataFrame([(" .\\lib\\deep\\a b.py", "x" * 32001)], "p string, b string").select(T.normal_path(F.col("p")), F.length(T.capped(F.col("b")))).first()
+    assert tuple(row) == ("lib/deep/a b.py", 32003)
 
 
 class Engine:
@@ -123,3 +125,151 @@ def test_rpc():
     assert rpc.handle("{", None)["error"]["code"] == -32700 and rpc.handle('{"method": "x"}', None)["error"]["code"] == -32601
     shown = json.loads(formatting.as_json(Engine().paths("q", 1), 1))["paths"][0]["nodes"][0]
     assert shown["full_body"] == "B" and shown["is_terminal"]
+
+
+def test_path_search_equals_a_search_of_the_whole_graph(spark, sf):
+    """The neighbourhoods found by joins lose nothing: the same paths as over all nodes at once."""
+    symbols = corpus.symbols(spark, sf)
+    nodes, edges = graph.build(symbols)
+    held = vectors.embedded(nodes.select("id", F.concat_ws(" ", "name", "body").alias("b")), "b").select("id", "vector")
+    asked = vectors.embedded(spark.createDataFrame([(0, "return class it"), (1, "def if u f"), (2, "C")], "query long, text string"), "text", "qv")
+    for depth, kind in ((10, "Calls"), (2, "ContainedIn"), (1, "Calls")):
+        some = edges.where(F.col("kind") == kind)
+        got = {}
+        for r in paths.search(held, some, asked, 4, depth).orderBy("query", "path_rank", "pos").collect():
+            got.setdefault((r["query"], r["path_rank"], r["score"]), []).append(r["symbol_id"])
+        table = {r["id"]: np.array(r["vector"], np.float64) for r in held.collect()}
+        ids = sorted(table)
+        index = {x: i for i, x in enumerate(ids)}
+        pairs = {(index[r["src"]], index[r["dst"]]) for r in some.collect()}
+        whole = paths.Adjacency(len(ids), *(np.array([p[k] for p in sorted(pairs)], np.int64) for k in (0, 1)))
+        want = {}
+        for q in asked.collect():
+            v = np.array(q["qv"], np.float64)
+            cos = [float(table[x] @ v / np.sqrt(table[x] @ table[x]) / np.sqrt(v @ v)) if table[x].any() and v.any() else 0.0 for x in ids]
+            order = sorted(range(len(ids)), key=lambda i: (-round(cos[i], 6), i))
+            found = [paths.two_way(whole, np.array(cos, np.float32), e, order[: paths.JUMP_CANDIDATES], depth) for e in order[:8]]
+            found.sort(key=lambda p: -p[1])
+            for rank, (path, score) in enumerate(found[:4]):
+                want[q["query"], rank, round(score, 6)] = [ids[n] for n in path]
+        assert [k[:2] for k in got] == [k[:2] for k in want] and list(got.values()) == list(want.values())
+
+
+def test_nearest_rank_of_large_groups(spark, monkeypatch):
+    from lodestone.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "ACCURACY", 100)
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.integers(0, 50, 3000)] + [("b", float(x)) for x in rng.random(2000)] + [("c", 1.0)] + [("d", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    for p in (0, 37, 50, 95, 100):
+        got = {r["k"]: r["p_value"] for r in evaluation.nearest_rank_by(frame, "k", "v", p).collect()}
+        want = {}
+        for k in "abc":
+            held = sorted(v for g, v in rows if g == k)
+            want[k] = held[int(p / 100 * (len(held) - 1) + 0.5)]
+        assert got == want
+
+
+@pytest.fixture(scope="module")
+def tree(tmp_path_factory):
+    root = tmp_path_factory.mktemp("tree")
+    (root / "shop").mkdir()
+    (root / "shop" / "cart.py").write_text("class Cart:\n    def total(self):\n        return price(self) + tax(self)\n\ndef price(cart):\n    return cart.sum\n")
+    (root / "shop" / "tax.py").write_text("def tax(cart):\n    \"\"\"Adds tax.\"\"\"\n    return rate() * 2\n\ndef rate():\n    return 3\n")
+    (root / "web.js").write_text("export const show = (cart) => { return render(cart) }\nfunction render(cart) { return cart }\n")
+    return root
+
+
+def test_engine_and_command(spark, tree, tmp_path, capsys):
+    store = tables.IndexStore(str(tmp_path / "index"))
+    asked = engine.opened(spark, str(tree), store)
+    version = store.version()
+    names = [n["name"] for p in asked.paths("total price tax", 3) for n in p["nodes"]]
+    assert {"total", "tax"} <= set(names)
+    single = asked.chunks("rate tax", 2)
+    assert len(single) == 2 and all(len(p["nodes"]) == 1 and p["score"] == p["nodes"][0]["relevance"] for p in single)
+    assert asked.paths("x", 0) == asked.chunks("x", 0) == []
+    assert engine.opened(spark, str(tree), store).store.version() == version  # whole: not built again
+    store.save(**{t: store.load(spark, t) for t in ("files", "symbols", "nodes", "edges")}, vectors=store.load(spark, "vectors").limit(1))
+    engine.opened(spark, str(tree), store)
+    assert store.version() == version + 2  # not whole: built again
+    call = json.dumps({"id": 7, "method": "tools/call", "params": {"name": rpc.TOOLS[1], "arguments": {"query": "render cart", "max_results": 1}}})
+    assert command.main([str(tree), "--data", str(tmp_path / "index")], [call + "\n", "\n"]) == 0
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert said["id"] == 7 and "=== Execution Path 1" in said["result"]["content"][0]["text"]
+
+
+def test_only_changed_files_are_embedded(spark, tree, tmp_path, monkeypatch):
+    import shutil
+
+    root, store = tmp_path / "copy", tables.IndexStore(str(tmp_path / "index"))
+    shutil.copytree(tree, root)
+    incremental.index(spark, str(root), store)
+    (root / "shop" / "tax.py").write_text("def tax(cart):\n    return levy()\n\ndef levy():\n    return 1\n")
+    seen, describe = [], incremental.described
+    monkeypatch.setattr(incremental, "described", lambda nodes: seen.extend(r["id"] for r in nodes.collect()) or describe(nodes))
+    incremental.update(spark, str(root), store, ["shop/tax.py"])
+    assert sorted(seen) == ["shop/tax.py::levy", "shop/tax.py::tax"]
+    monkeypatch.undo()
+    rebuilt = incremental.tables(parse.symbols(files.read(spark, str(root))))
+    for name in ("vectors", "edges"):
+        a, b = store.load(spark, name), rebuilt[name]
+        assert a.count() == b.count() and not a.exceptAll(b).count()
+    a, b = (sorted((r["id"], r["skeleton"]) for r in x.collect()) for x in (store.load(spark, "nodes"), rebuilt["nodes"]))
+    assert a == b and not incremental.report_missing(spark, store)
+
+
+def test_a_watched_tree_follows_changes(spark, tree, tmp_path):
+    import shutil
+    import time
+
+    root, store = tmp_path / "copy", tables.IndexStore(str(tmp_path / "index"))
+    shutil.copytree(tree, root)
+    incremental.index(spark, str(root), store)
+    stream = incremental.watch_tree(spark, str(root), store, str(tmp_path / "checkpoint"))
+    try:
+        (root / "new.py").write_text("def fresh():\n    return 1\n")
+        os.remove(root / "web.js")
+        for _ in range(120):
+            if store.version() > 1:
+                break
+            time.sleep(0.5)
+    finally:
+        stream.stop()
+    assert {r["path"] for r in store.load(spark, "files").collect()} == {"new.py", "shop/cart.py", "shop/tax.py"}
+
+
+def test_a_failing_embedder_leaves_nulls_that_are_counted(spark):
+    def provider():
+        def embed(texts):
+            if "bad" in texts:
+                raise RuntimeError("no vector")
+            return np.ones((len(texts), 3))
+
+        return embed
+
+    frame = spark.createDataFrame([(i, "bad" if i == 3 else "word") for i in range(6)], "i int, t string").coalesce(1)
+    got = vectors.embedded(frame, "t", provider=provider, batch=2)
+    assert vectors.without_vector(got) == 2 and [r["i"] for r in vectors.dimension_ok(got, 3).orderBy("i").collect()] == [0, 1, 4, 5]
+
+
+def test_agent_tools(spark, tree):
+    found = [{"score": 1.0, "nodes": [{"symbol_id": "a", "file_path": "f.py", "name": "a", "body": "x" * 9000}] * 2}]
+    tools = agent.Tools(spark, str(tree), type("E", (), {"paths": lambda self, q, k: found})(), budget=4)
+    assert tools.call("search", query="q").endswith("(truncated)") and tools.call("nothing").startswith("Error")
+    assert tools.call("grep", pattern="RATE", path="shop") == "shop/tax.py:3:    return rate() * 2\nshop/tax.py:5:def rate():"
+    assert tools.call("grep", pattern="x", path="../..").startswith("Error")
+    assert tools.call("submit_patch", patch="+x").startswith("The patch") and tools.call("search", query="q").startswith("Error")
+    assert tools.record("i", "m")["tool_call_breakdown"] == {"search": 1, "grep": 2, "submit_patch": 1}
+    assert agent.tool_folder(str(tree), "shop/../shop/.") == "shop"
+    with pytest.raises(ValueError, match="relative"):
+        agent.tool_folder(str(tree), "/etc")
+
+
+def test_needles_phases():
+    assert T.needles("see pkg.mod.func and `run_it()` now") == ["func", "pkg.mod.func", "run_it"]
+    many = " ".join(f"Name{i}x" for i in range(30))
+    assert T.needles(many) == [f"Name{i}x" for i in range(20)]
+    assert T.needles("why is it slow today") == ["today"] and T.needles("  ") == []
+    assert T.needles("the Description of Foo_Bar foo_bar FOO_BAR") == ["Foo_Bar"]
