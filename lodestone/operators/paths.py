@@ -169,7 +169,7 @@ def whole_bodies(nodes: DataFrame, most: int = 8192) -> DataFrame:
     first = nodes.withColumn("rn", F.row_number().over(Window.partitionBy("query", "symbol_id").orderBy("path_rank", "pos"))).where("rn = 1")
     size = F.length("body") + 2
     before = F.sum(size).over(Window.partitionBy("query").orderBy("path_rank", "pos").rowsBetween(Window.unboundedPreceding, 0)) - size
-    some = first.withColumn("before", before).where(F.col("before") < most)
+    some = first.withColumn("before", before).where(F.col("before") <= most + 2)  # if more follow, these alone are longer than the limit
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path_rank", "pos", F.col("body").alias("b")))), lambda x: x["b"]), "\n\n")
     return some.groupBy("query").agg(truncated(text, most).alias("text"))
 

@@ -249,7 +249,7 @@ def test_a_failing_embedder_leaves_nulls_that_are_counted(spark):
 
         return embed
 
-    frame = spark.createDataFrame([(i, "bad" if i == 3 else "word") for i in range(6)], "i int, t string").coalesce(1)
+    frame = spark.range(0, 6, 1, 1).select(F.col("id").alias("i"), F.when(F.col("id") == 3, "bad").otherwise("word").alias("t"))
     got = vectors.embedded(frame, "t", provider=provider, batch=2)
     assert vectors.without_vector(got) == 2 and [r["i"] for r in vectors.dimension_ok(got, 3).orderBy("i").collect()] == [0, 1, 4, 5]
 
