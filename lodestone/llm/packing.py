@@ -17,6 +17,7 @@ Cases: null is the empty text (the end id alone); equal rows are packed each for
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 import zlib
@@ -49,9 +50,8 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
@@ -65,6 +65,13 @@ class Encoder:
         self.kind = self.kinds()
         self.forget()
 
+    @functools.cached_property
+    def slow(self):
+        """The tokenizers library's own tokenizer: loaded where a text needs it, as it takes tens of MB in each worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def kinds(self) -> np.ndarray:
         """The kind of each code point, -1 where it may depend on the version of Unicode; last the edge between texts."""
         kinds, old, out = {"L": self.LETTER, "N": self.NUMBER}, unicodedata.ucd_3_2_0, np.empty(0x110001, np.int8)
