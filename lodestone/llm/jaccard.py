@@ -1,7 +1,7 @@
 """Operator 10: near-duplicate join on five-word shingles with Jaccard similarity of 0.8 or more, by chosen paths.
 
 A document is the set of its shingles (runs of five words; a text of one to four words is one shingle). Documents with equal sets
-form a class, told apart by a 64-bit sum over the set, and go on as one. Each class has `COORDINATES` one-permutation
+form a class, told apart by two 64-bit sums over the set, get a number and go on as one. Each class has `COORDINATES` one-permutation
 minimum hashes; a token is a coordinate with its value, and two sets share about as large a part of their tokens as their similarity.
 
 Chosen paths: in each of `RUNS` runs every set starts at a root. At a node it takes each of its tokens with the probability
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._spark import fresh, on_row, staged, table
+from ._spark import discard, finished, fresh, on_row, staged, table
 
 THRESHOLD, WIDTH = 0.8, 5
 COORDINATES, RUNS, DEPTH, SMALL, BLOCK, LIKELY = 128, 12, 2, 64, 2048, 0.66
@@ -52,8 +52,8 @@ def distinct_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, class, size, sketch) per document; class is null where there is no shingle."""
-    schema = "doc_id long, text_hash long, class long, size int, sketch binary"
+    """(doc_id, text_hash, class, other, size, sketch) per document; class and other, two hashes of the set, are null where there is no shingle."""
+    schema = "doc_id long, text_hash long, class long, other long, size int, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = V.OnePermutation(COORDINATES, seed=5)
@@ -63,11 +63,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 h, doc = distinct_shingles(texts[a:b])
                 n = b - a
                 size = np.bincount(doc, minlength=n)
-                total = np.zeros(n, U)
-                np.add.at(total, doc, V.mix(h))
+                total = np.zeros((2, n), U)
+                for k in range(2):
+                    np.add.at(total[k], doc, V.mix(h + U(k)))
+                names = [pa.array(V.mix(t + size.astype(U)).view(np.int64), mask=size == 0) for t in total]
                 sketch = hasher.values(V.mix(h), doc, n).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(V.mix(total + size.astype(U)).view(np.int64), mask=size == 0), pa.array(size, pa.int32()), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    [batch.column(0).slice(a, n), batch.column(1).slice(a, n), *names, pa.array(size, pa.int32()), pa.array([r.tobytes() for r in sketch], pa.binary())],
                     [x.split()[0] for x in schema.split(", ")],
                 )
 
@@ -282,14 +284,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def connected(links: DataFrame) -> DataFrame:
     """(class, label) of all classes that have a link; label: the least class that it is connected to."""
     both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("class"), F.least("a", "m").alias("label")), "labels")
+    new = labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("class"), F.least("a", "m").alias("label")), "labels")
     while True:
         told = both.join(labels, both["b"] == labels["class"]).groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(told, labels["class"] == told["a"]).select("class", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("class").alias("c"), F.col("label").alias("over"))
-        new = staged(nearer.join(jump, nearer["label"] == jump["c"], "left").select("class", "old", F.least("label", F.coalesce("over", "label")).alias("label")), "labels")
+        last, new = new, staged(nearer.join(jump, nearer["label"] == jump["c"], "left").select("class", "old", F.least("label", F.coalesce("over", "label")).alias("label")), "labels")
         labels = new.select("class", "label")
+        discard(last)
         if new.where("label <> old").isEmpty():
+            discard(both)
             return labels
 
 
@@ -297,19 +301,23 @@ def grouped(docs: DataFrame, complete: bool = False) -> DataFrame:
     """(doc_id, text_hash, class_id, n_links, n_copies, first): one row per document; first marks the one that stays of its group.
 
     complete: n_links counts all links of each class in its group, not only those found in small buckets and those that connect large ones."""
-    rows = staged(signatures(docs), "signatures")
-    known = rows.where(F.col("class").isNotNull())
+    signed = staged(signatures(docs), "signatures")
+    known = signed.where(F.col("class").isNotNull())
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
-    classes = known.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n_copies"))
-    classes = staged(classes, "classes")
-    sketches = staged(known.groupBy("class").agg(F.first("sketch").alias("sketch")), "sketches")
+    # Classes are numbered in a table, so that no two of them share a number.
+    named = known.groupBy("class", "other").agg(F.min("doc_id").alias("least"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n_copies"), F.first("sketch").alias("sketch"))
+    named = staged(named.withColumn("number", F.monotonically_increasing_id()), "classes")
+    classes = named.select(F.col("number").alias("class"), "least", "place", "n_copies")
+    sketches = named.select(F.col("number").alias("class"), "sketch")
+    rows = signed.drop("sketch", "size").join(named.select("class", "other", "number"), ["class", "other"], "left").select("doc_id", "text_hash", F.col("number").alias("class"))
+    rows = finished(rows, "rows", signed)
     pairs, large = candidates(sketches)
     pairs = staged(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(large.select("class")).distinct()
     wanted = wanted.join(classes, "class").select("class", F.col("place.doc_id").alias("wid"), F.col("place.text_hash").alias("wh"))
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = staged(source.join(wanted, on_row(source, wanted, "doc_id", "text_hash", "wid", "wh")).select("class", "text"), "texts")
-    texts = texts.groupBy("class").agg(F.first("text").alias("text")) if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() else texts
+    texts = source.join(wanted, on_row(source, wanted, "doc_id", "text_hash", "wid", "wh"))
+    texts = staged(texts.groupBy("class").agg(F.first("text").alias("text")), "texts")  # rows equal in all respects are one
     links = staged(verified(pairs, texts).unionByName(connecting(large, texts)).distinct(), "links")
     labels = connected(links)
     if complete:
@@ -317,13 +325,15 @@ def grouped(docs: DataFrame, complete: bool = False) -> DataFrame:
     else:
         degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     info = classes.join(labels, "class", "left").join(degree, "class", "left").withColumn("label", F.coalesce("label", "class")).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-    info = staged(info, "info")
-    groups = info.groupBy("label").agg(F.min("least").alias("class_id"), F.min("place").alias("stays"))
-    info = staged(info.join(groups, "label").select("class", "class_id", "n_links", "n_copies", "stays"), "info")
+    base = staged(info, "info")
+    discard(pairs, links, texts)
+    groups = base.groupBy("label").agg(F.min("least").alias("class_id"), F.min("place").alias("stays"))
+    info = finished(base.join(groups, "label").select("class", "class_id", "n_links", "n_copies", "stays"), "info", base)
     out = rows.join(info, "class", "left")
     first = F.col("stays").isNull() | (F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash")) == F.col("stays"))
     lone = F.col("class").isNull()
-    return out.select("doc_id", "text_hash", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), first.alias("first"))
+    out = out.select("doc_id", "text_hash", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), first.alias("first"))
+    return finished(out, "grouped", rows, info, named)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +343,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each group the document with the least doc_id stays, once; all columns as they are."""
     h, gid, gh, number = fresh(docs, "text_hash", "group_id", "group_hash", "number")
-    plan = staged(grouped(docs), "groups")
+    plan = grouped(docs)
     stay = plan.where("first").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.first("class_id").alias("c"))
     again = not stay.where("n > 1").isEmpty()
     stay = stay.select(F.col("doc_id").alias(gid), F.col("text_hash").alias(gh))
