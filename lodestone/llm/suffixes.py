@@ -16,7 +16,7 @@ q-gram (`GRAM` bytes) in it with the least hash, so that equal strings have equa
 
 All buckets are groups of Spark aggregations (summed before the shuffle), so that a passage in a third of all documents
 is no large group in any task. Equal texts are one text of multiplicity two or more, and are removed as a whole (from LENGTH
-bytes on). Deciding hashes have 128 bits (two of 64); texts are told apart by 64 bits. Documents of any length are read in segments.
+bytes on). Deciding hashes, of strings and of texts, have 128 bits (two of 64). Documents of any length are read in segments.
 
 Cases: a null text has 0 bytes; shorter texts than LENGTH keep everything; equal rows count as two documents. An empty table
 gives no rows.
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._spark import staged, table
+from ._spark import discard, finished, staged, table
 
 LENGTH, GRAM, CELL = 400, 40, 32
 SEGMENT = 1 << 20
@@ -41,6 +41,14 @@ U = np.uint64
 OTHER_BASE = 0xD1342543DE82EF95
 
 
+KEY = "struct<a:long,b:long>"
+
+
+def text_key() -> Column:
+    """What tells a text from others: two hashes."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+
+
 def least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
     """Minima of all windows of `width` keys, by minima from both ends of blocks of that size."""
     n = len(key) - width + 1
@@ -94,7 +102,7 @@ def all_anchors(texts: DataFrame) -> DataFrame:
                 owner = np.array([p[0] for p in parts[i:j]], np.int64)[piece]
                 yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column(0).take(pa.array(owner)), pa.array(place)], ["gram", "text_key", "place"])
 
-    return texts.mapInArrow(V.released(run), "gram long, text_key long, place long")
+    return texts.mapInArrow(V.released(run), f"gram long, text_key {KEY}, place long")
 
 
 def merged(places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +145,7 @@ def cells_of(hashes: Hashes, size: int, at: np.ndarray, first: np.ndarray, last:
 
 def cells(texts: DataFrame) -> DataFrame:
     """(core, hull, text_key, starts, weight): hull is null where it would leave the text. texts: text_key, many, places, text."""
-    schema = "core long, hull long, text_key long, starts long, weight int"
+    schema = f"core long, hull long, text_key {KEY}, starts long, weight int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +174,7 @@ def cells(texts: DataFrame) -> DataFrame:
 
 def strings(texts: DataFrame) -> DataFrame:
     """(one, two, text_key, start, weight) of all strings that begin in the given cells. texts: text_key, wanted (starts, weight), text."""
-    schema = "one long, two long, text_key long, start long, weight int"
+    schema = f"one long, two long, text_key {KEY}, start long, weight int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,26 +193,30 @@ def strings(texts: DataFrame) -> DataFrame:
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(text_key, whole, spans): for texts that have any, the runs (first, last) of starts of repeated strings; whole: the text itself repeats."""
-    texts = docs.where(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    texts = docs.where(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
     many = staged(texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner")), "texts")
     found = staged(all_anchors(texts.select("text_key", "text")), "anchors")
     place = F.xxhash64("text_key", F.shiftright("place", 20))
     often = found.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("gram")
+    # A table of its own, so that a common q-gram's rows can be split among tasks.
+    often = staged(often, "often")
     per_text = found.join(often, "gram").groupBy("text_key").agg(F.collect_set("place").alias("places"))
     per_text = per_text.join(many, "text_key").select("text_key", "places", "owner", F.when(F.col("n") > 1, 2).otherwise(1).cast("int").alias("many"))
     owned = lambda side: (texts["text_key"] == side["text_key"]) & texts["doc_id"].eqNullSafe(side["owner"])
     cell = staged(cells(texts.join(per_text, owned(per_text)).select(per_text["text_key"], "many", "places", "text")), "cells")
+    discard(found, often)
     # Buckets by core and hull; a cell without a hull is a bucket by itself.
-    hull = cell.where("hull is not null").groupBy("core", "hull").agg(F.sum("weight").alias("w"), F.min("text_key").alias("text_key"), F.min("starts").alias("starts"), F.count(F.lit(1)).alias("cells"))
+    hull = cell.where("hull is not null").groupBy("core", "hull").agg(F.sum("weight").alias("w"), F.min("text_key.a").alias("a"), F.min("text_key.b").alias("b"), F.min("starts").alias("starts"))
     settled = staged(hull, "hulls")
-    bare = cell.where("hull is null").select("core", F.lit(None).cast("long").alias("hull"), F.col("weight").cast("long").alias("w"), "text_key", "starts", F.lit(1).cast("long").alias("cells"))
+    bare = cell.where("hull is null").select("core", F.lit(None).cast("long").alias("hull"), F.col("weight").cast("long").alias("w"), "text_key.a", "text_key.b", "starts")
     every = settled.unionByName(bare)
     cores = every.groupBy("core").agg(F.sum("w").alias("all"), F.max((F.col("hull").isNull() | (F.col("w") < 2)).cast("int")).alias("open")).where("all > 1 and open = 1").select("core")
-    # Of a settled bucket of several cells, text_key and starts may be of different ones: its member is found by a join.
+    # A bucket of one cell has that cell's key and starts; of several cells they may be of different ones, and a member is found by a join.
     open_ = every.join(cores, "core")
-    left = open_.where("hull is null or w < 2").select("text_key", "starts", F.lit(1).alias("weight"))
-    member = open_.where("hull is not null and w >= 2").select("core", "hull", "text_key")
-    chosen = cell.join(member, ["core", "hull", "text_key"]).groupBy("core", "hull", "text_key").agg(F.min("starts").alias("starts")).select("text_key", "starts", F.lit(2).alias("weight"))
+    left = open_.where("hull is null or w < 2").select(F.struct("a", "b").alias("text_key"), "starts", F.lit(1).alias("weight"))
+    member = open_.where("hull is not null and w >= 2").select("core", "hull", "a")
+    same = cell.join(member, ["core", "hull"]).where("text_key.a = a")
+    chosen = same.groupBy("core", "hull").agg(F.min(F.struct("text_key", "starts")).alias("m")).select("m.text_key", "m.starts", F.lit(2).alias("weight"))
     wanted = left.unionByName(chosen).groupBy("text_key").agg(F.collect_list(F.struct("starts", "weight")).alias("wanted")).join(many.select("text_key", "owner"), "text_key")
     string = staged(strings(texts.join(wanted, owned(wanted)).select(wanted["text_key"], "wanted", "text")), "strings")
     twice = string.groupBy("one", "two").agg(F.sum("weight").alias("w")).where("w > 1").select("one", "two")
@@ -212,7 +224,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     full = cell.join(settled.where("w > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("text_key", F.shiftright("starts", 6).alias("first"), (F.shiftright("starts", 6) + F.col("starts").bitwiseAND(63)).alias("last"))
     spans = singles.unionByName(full).groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     whole = many.where("n > 1").select("text_key", F.lit(True).alias("whole"))
-    return spans.join(whole, "text_key", "full_outer").select("text_key", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    out = spans.join(whole, "text_key", "full_outer").select("text_key", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    return finished(out, "spans", many, cell, settled, string)
 
 
 def without_repeated(docs: DataFrame) -> DataFrame:
@@ -243,8 +256,8 @@ def without_repeated(docs: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], [x.split()[0] for x in schema.split(", ")])
 
-    gone = staged(repeated_starts(docs), "spans")
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("k"), F.col("text").cast("binary").alias("text"))
+    gone = repeated_starts(docs)
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("k"), F.col("text").cast("binary").alias("text"))
     joined = rows.join(gone, rows["k"] == gone["text_key"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
     return joined.mapInArrow(V.released(run), schema)
 
