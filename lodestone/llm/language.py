@@ -300,7 +300,7 @@ def predicted(spark: SparkSession, model: Identifier):
             texts = batch.tolist()
             have = [i for i, t in enumerate(texts) if t and model.langs and any(map(str.isalpha, t))]
             lang, columns = np.array(["und"] * len(texts), object), [np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)]
-            for a, b in V.spans([len(texts[i]) for i in have], 1 << 19):
+            for a, b in V.spans([len(texts[i]) for i in have], 1 << 18):
                 got, *rest = model.predict([texts[i] for i in have[a:b]])
                 lang[have[a:b]] = got
                 for column, values in zip(columns, rest, strict=True):
