@@ -3,14 +3,17 @@
 Texts are UTF-8 bytes. A byte goes if it is covered by a string of `LENGTH` bytes, within its document, that also starts anywhere
 else; all occurrences go, judged on the input.
 
-Sorting all suffixes isn't needed to find strings of one length. Each string of LENGTH bytes is filed under its *anchor*, the
-q-gram (`GRAM` bytes) in it with the least hash, so that equal strings have equal anchors at the same offset.
+Sorting all suffixes isn't needed to find strings of one length, and a row for each byte would shuffle more than ten times the input. Suffixes are
+sparse: each string of LENGTH bytes is filed under its *anchor*, the q-gram (`GRAM` bytes) in it with the least hash, so that equal strings
+have equal anchors at the same offset.
 
 1. Initial buckets: anchors by q-gram. Buckets with one suffix are finished and leave.
-2. Refinement: bucket pointers of later offsets are prefix sums of a rolling hash, so that the bucket of any string at an anchor
-   comes from two of them. The strings of one anchor whose starts fall into the same cell of `CELL` offsets share a *core*
-   (their intersection) and lie in one *hull* (their union). Cells are sorted into buckets by core and, within those, by hull. A
-   hull bucket of two or more settles all its strings at once (repeated); a core bucket of one does, too (not repeated).
+2. Refinement: a suffix's bucket for twice the length is named after its bucket and that of the suffix at the later offset, the length on
+   (:class:`Buckets`): names of GRAM, 2 GRAM, 4 GRAM and 8 GRAM bytes, each made of the names before, and, for other lengths, of two
+   names that overlap. A name is a hash, equal in all texts, so that no sorted order has to be sent round. The strings of one anchor
+   whose starts fall into the same cell of `CELL` offsets share a *core* (their intersection) and lie in one *hull* (their union). Cells
+   are sorted into buckets by core and, within those, by hull. A hull bucket of two or more settles all its strings at once
+   (repeated); a core bucket of one does, too (not repeated).
 3. What is left, the cells at the ends of repeated passages, is refined to the strings themselves, together with
    one member of each settled hull bucket of the same core. Settled buckets are thus reused instead of being sorted again.
 
@@ -114,22 +117,56 @@ def merged(places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
 
 
-class Hashes:
-    """Two 64-bit hashes of any string of a text, from its prefix sums."""
+class Buckets:
+    """Names (two of 64 bits) of the buckets of all suffixes of a text, from q-grams on by doubling."""
 
     def __init__(self, text: bytes):
         chunk = V.Chunk([text])
-        self.one, self.two = chunk.prefix(31), chunk.prefix(32, OTHER_BASE)
-
-    def first(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return V.substring_hash(self.one, begin, end).view(np.int64)
-
-    def second(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return V.substring_hash(self.two, begin, end, OTHER_BASE).view(np.int64)
+        n, self.names = len(text), []
+        for seed, base in ((31, V.BASE), (32, OTHER_BASE)):
+            prefix = chunk.prefix(seed, base)
+            inverse = V.powers(pow(base, -1, 1 << 64), n + 1)
+            name, length = (prefix[GRAM : n + 1] - prefix[: n + 1 - GRAM]) * inverse[: n + 1 - GRAM], GRAM
+            while 2 * length <= LENGTH - CELL + 1:
+                name = V.mix(name[:-length] * U(base) + name[length:])
+                length *= 2
+            self.names.append(name)
+        self.length = length
+
+    def _at(self, which: int, begin: np.ndarray, length: int) -> np.ndarray:
+        name = self.names[which]
+        return V.mix(name[begin] * U(OTHER_BASE) + name[begin + length - self.length] + U(length)).view(np.int64)
+
+    def first(self, begin: np.ndarray, length: int) -> np.ndarray:
+        """The first name of the strings of a length, from `length` of the last doubling to twice that, that begin there."""
+        return self._at(0, begin, length)
+
+    def second(self, begin: np.ndarray, length: int) -> np.ndarray:
+        return self._at(1, begin, length)
+
+
+def stretches(text: bytes, start: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """(begin, end, offset, bytes): the ascending starts begin..end lie in a stretch of the text, from offset on, with all that cells and strings at
+    them reach. A stretch has about `SEGMENT` bytes, however long the text is."""
+    begin = 0
+    while begin < len(start):
+        end = int(np.searchsorted(start, start[begin] + SEGMENT))
+        offset = max(0, int(start[begin]) - 2 * CELL)
+        yield begin, end, offset, text[offset : int(start[end - 1]) + 3 * LENGTH]
+        begin = end
+
+
+def cells_of(text: bytes, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(core, hull, has hull, starts packed as first << 6 | number - 1) of the cells of all anchors of a text."""
+    order, parts = np.argsort(first, kind="stable"), []
+    at, first, last = at[order], first[order], last[order]
+    for a, b, offset, piece in stretches(text, first):
+        core, hull, whole, starts = _cells(Buckets(piece), offset, len(text), at[a:b] - offset, first[a:b] - offset, last[a:b] - offset)
+        parts.append((core, hull, whole, starts + (offset << 6)))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-def cells_of(hashes: Hashes, size: int, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(core, hull, has hull, starts packed as first << 6 | number - 1) of the cells of all anchors of a text."""
+def _cells(buckets: Buckets, offset: int, size: int, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
     low, high = (at - last) // CELL, (at - first) // CELL
     times = high - low + 1
     row = np.repeat(np.arange(len(at)), times)
@@ -137,9 +174,10 @@ def cells_of(hashes: Hashes, size: int, at: np.ndarray, first: np.ndarray, last:
     a = at[row]
     right, left = a - k * CELL, a - k * CELL - (CELL - 1)
     begin, end = np.maximum(first[row], left), np.minimum(last[row], right)
-    core = hashes.first(right, left + LENGTH) ^ V.mix(k.astype(U)).view(np.int64)
-    whole = (left >= 0) & (right + LENGTH <= size)
-    hull = np.where(whole, hashes.second(np.where(whole, left, 0), np.where(whole, right + LENGTH, 1)), 0)
+    core = buckets.first(right, LENGTH - CELL + 1) ^ V.mix(k.astype(U)).view(np.int64)
+    whole = (left + offset >= 0) & (right + offset + LENGTH <= size)
+    hull = np.zeros(len(left), np.int64)
+    hull[whole] = buckets.second(left[whole], LENGTH + CELL - 1)
     return core, hull, whole, (begin << 6) | (end - begin)
 
 
@@ -157,7 +195,7 @@ def cells(texts: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays([pa.array(core), pa.array(hull, mask=~whole), batch.column(0).take(owner), pa.array(starts), batch.column(1).take(owner)], [x.split()[0] for x in schema.split(", ")])
 
             for i, (places, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                got = cells_of(Hashes(text), len(text), *merged(places))
+                got = cells_of(text, *merged(places))
                 for column, values in zip(columns, (*got, np.full(len(got[0]), i)), strict=True):
                     column.append(values)
                 rows += len(got[0])
@@ -179,14 +217,18 @@ def strings(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (wanted, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                hashes = Hashes(text)
-                for j in range(0, len(wanted), 4096):
-                    starts = np.array([w["starts"] for w in wanted[j : j + 4096]], np.int64)
-                    times = (starts & 63) + 1
-                    start = np.repeat(starts >> 6, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    weight = np.repeat(np.array([w["weight"] for w in wanted[j : j + 4096]], np.int32), times)
-                    owner = pa.array(np.full(len(start), i))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.first(start, start + LENGTH)), pa.array(hashes.second(start, start + LENGTH)), batch.column(0).take(owner), pa.array(start), pa.array(weight)], [x.split()[0] for x in schema.split(", ")])
+                cell, weight = (np.array([w[c] for w in wanted], np.int64) for c in ("starts", "weight"))
+                order = np.argsort(cell, kind="stable")
+                cell, weight = cell[order], weight[order]
+                for a, b, offset, piece in stretches(text, cell >> 6):
+                    buckets = Buckets(piece)
+                    for j in range(a, b, 4096):
+                        some = cell[j : min(j + 4096, b)]
+                        times = (some & 63) + 1
+                        start = np.repeat(some >> 6, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        heavy = np.repeat(weight[j : min(j + 4096, b)].astype(np.int32), times)
+                        owner, at = pa.array(np.full(len(start), i)), start - offset
+                        yield pa.RecordBatch.from_arrays([pa.array(buckets.first(at, LENGTH)), pa.array(buckets.second(at, LENGTH)), batch.column(0).take(owner), pa.array(start), pa.array(heavy)], [x.split()[0] for x in schema.split(", ")])
 
     return texts.select("text_key", "wanted", "text").mapInArrow(V.released(run), schema)
 
