@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from . import _vec as V
 from ._spark import finished, fresh, on_row, staged, table
 
-WINDOW, LONG_WORDS = 2, 20
+LONG_WORDS = 5
 U = np.uint64
 
 

@@ -49,6 +49,19 @@ def test_suffix_dedup_edges(spark, monkeypatch):
     assert not rows(suffixes.without_repeated(empty(spark)))
 
 
+def test_suffix_dedup_of_a_text_longer_than_a_segment(spark):
+    """More than a MB in one text, with a passage that repeats across its segments and in another text."""
+    rng = random.Random(21)
+    body = words(rng, 200_000, 50_000)
+    passage = body[1000:1700]
+    docs = spark.createDataFrame([(1, body + " " + passage + " end"), (2, "begin " + passage[100:600] + " end"), (3, words(rng, 3000, 50_000))], "doc_id long, text string")
+    assert len(body) > suffixes.SEGMENT
+    got = {r["doc_id"]: r for r in rows(suffixes.without_repeated(docs))}
+    # Words next to both copies may agree by a letter or two.
+    assert got[1]["n_spans"] == 2 and 2 * len(passage) <= got[1]["n_removed"] <= 2 * len(passage) + 8
+    assert got[2]["n_spans"] == 1 and 500 <= got[2]["n_removed"] <= 506 and got[3]["n_removed"] == 0
+
+
 def test_suffix_dedup_of_partial_overlaps_and_periods(spark):
     rng = random.Random(9)
     base = words(rng, 400)
@@ -85,6 +98,23 @@ def test_url_edges(spark):
     assert not rows(urlfilter.filtered(pages.limit(0)))
 
 
+def test_url_filter_in_ranges_and_with_hostile_lists(spark, sf, monkeypatch):
+    """More listed hosts than a range takes, very long urls, a list of hosts that aren't there, and one of all hosts."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    pages = pages.unionByName(spark.createDataFrame([(10**6, "http://" + "h" * 200_000 + "/" + "p" * 200_000), (10**6 + 1, None)], "page_id long, url string"))
+    urls = {r["page_id"]: r["url"] for r in rows(pages)}
+    one = sorted(map(str, rows(urlfilter.filtered(pages))))
+    monkeypatch.setattr(urlfilter, "RANGE_KEYS", 3)
+    many = urlfilter.filtered(pages)
+    assert sorted(map(str, rows(many))) == one
+    hosts = {url_model(u)[0] for u in urls.values()} - {""}
+    for listed in (set(), {"nowhere.example", ""}, hosts | {"nowhere.example"}):
+        frame = spark.createDataFrame([(h,) for h in listed], "name string")
+        for r in rows(urlfilter.filtered(pages, frame)):
+            host, _, rule, _ = url_model(urls[r["page_id"]])
+            assert r["host"] == host and (rule is not None or r["verdict"] == ("block" if host in listed and host else "allow"))
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     cascade = urlfilter.Cascade(keys)
@@ -251,6 +281,57 @@ def test_pipeline_stages(spark, sf):
 
 
 def test_pipeline_on_edges(spark):
+    """Each stage on nulls, empty and long texts, ties, repeats and clashing columns, and on an empty table."""
+    want = {
+        "language": lambda docs: {str(r) for r in rows(docs) if r["text"] and any(map(str.isalpha, r["text"]))},
+        "line_dedup": lambda docs: len(rows(docs)),
+    }
     for name, stage in corpus_pipeline.STAGES:
-        for docs in (edge(spark), empty(spark)):
-            assert stage(spark, docs, "").count() >= 0, name
+        docs = edge(spark)
+        got = rows(stage(spark, docs, ""))
+        assert stage(spark, empty(spark), "").count() == 0, name
+        if name == "language":
+            assert {str(r) for r in got} <= want[name](docs) and len(got) >= 0.9 * len(want[name](docs))
+        elif name == "line_dedup":
+            assert len(got) == want[name](docs) and sum(r["text"] is None for r in got) == sum(r["text"] is None for r in rows(docs))
+        elif name == "near_duplicates":
+            full = [r["text"] for r in got if r["text"] and r["text"].strip()]
+            assert len(full) == len(set(full)) and sum(r["text"] is None for r in got) == sum(r["text"] is None for r in rows(docs))
+        elif name == "mixing":
+            sizes = {r["text"] for r in rows(docs)}
+            assert got and all(r["text"] and any((t or "").startswith(r["text"].rstrip()) for t in sizes) for r in got)
+        else:
+            assert sum(p["start"] == 0 for p in got) >= len(rows(docs)) and all(0 < p["length"] <= 2048 for p in got)
+
+
+def test_language_stage_drops_junk_and_keeps_the_rest(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    junk = spark.createDataFrame([(10**6 + i, "".join(random.Random(i).choices("qxzjvkw", k=300)), None, "junk", 300) for i in range(20)], docs.schema)
+    kept = {r["doc_id"] for r in rows(corpus_pipeline.STAGES[0][1](spark, docs.unionByName(junk), sf))}
+    good = {r["doc_id"] for r in rows(docs) if r["text"] and any(map(str.isalpha, r["text"]))}
+    assert not any(i >= 10**6 for i in kept) and len(good & kept) >= 0.98 * len(good)
+
+
+def test_jaccard_join_of_loose_groups_in_proportion(spark):
+    """Groups of texts with many pairs on either side of the threshold: whole groups and all links, and what is checked grows with the group."""
+    for size in (400, 800):
+        rng = random.Random(size)
+        base = words(rng, 404, 50_000).split()
+        docs = []
+        for i in range(size):
+            v = list(base)
+            for at in rng.sample(range(404), 5):
+                v[at] = f"new{i}x{at}"
+            docs.append((i, " ".join(v)))
+        got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in rows(jaccard.grouped(spark.createDataFrame(docs, "doc_id long, text string"), complete=True))}
+        sets = [shingle_set(t) for _, t in docs]
+        names = {s: k for k, s in enumerate(set().union(*sets))}
+        matrix = np.zeros((size, len(names)), np.float32)
+        for i, s in enumerate(sets):
+            matrix[i, [names[x] for x in s]] = 1
+        common = matrix @ matrix.T
+        each = matrix.sum(1)
+        like = common >= 0.8 * (each[:, None] + each - common) - 1e-6
+        np.fill_diagonal(like, False)
+        assert [got[i][1] for i in range(size)] == like.sum(1).tolist()
+        assert len({v[0] for v in got.values()}) == 1 if like.sum(1).all() else True

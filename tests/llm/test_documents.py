@@ -122,7 +122,7 @@ def line_dedup_model(docs):
         gone = set()
         for k, u in enumerate(units):
             for run in ((tuple(units[k : k + 2]), 2), ((u,), 1)):
-                if len(run[0]) < run[1] or run[1] == 1 and len(WORD.findall(u)) < 20:
+                if len(run[0]) < run[1] or run[1] == 1 and len(WORD.findall(u)) < linededup.LONG_WORDS:
                     continue
                 if run[0] in seen:
                     gone |= set(range(k, k + run[1]))
@@ -145,6 +145,15 @@ def test_line_dedup(spark, sf):
     assert got == line_dedup_model(docs) and sum(v[1] for v in got.values())
 
 
+def test_line_dedup_finds_maximal_runs_and_short_boilerplate(spark):
+    long_run = "\n".join(f"line {k} of a run" for k in range(6))
+    docs = [(1, "own first\n" + long_run + "\nown last"), (2, "other\n" + long_run.replace("\n", "\n\n") + "\nend"), (3, "x\nAll rights reserved by the owners\ny"), (4, "z\nAll rights reserved by the owners\nw"), (5, "a b\nx"), (6, "a b\nc")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    runs = {(r["doc_id"], r["run"]): r["lines"] for r in rows(linededup.repeated_runs(frame))}
+    assert runs == {(2, 1): [1, 3, 5, 7, 9, 11], (4, 1): [1]}
+    assert {r["doc_id"]: r["text"] for r in rows(linededup.deduplicated(frame))} == {k: v[2] for k, v in line_dedup_model(docs).items()}
+
+
 def test_line_dedup_edges(spark):
     once = edge(spark).where("doc_id is not null and doc_id <> 3").dropDuplicates(["doc_id"])
     want = line_dedup_model(sorted((r["doc_id"], r["text"]) for r in rows(once)))
