@@ -25,8 +25,9 @@ from . import _vec as V
 from ._spark import rank_in, table
 
 BINS, BITS = 512, 4
-#: Rows in a bucket of neighbouring ids, and the most buckets (their bounds are a literal of the plan).
-BUCKET_ROWS, MOST_BUCKETS = 1000, 10_000
+#: Rows in a bucket of neighbouring ids, the most ranges of ids whose bounds are a literal of the plan, and the most buckets in each range, whose
+#: bounds are sent to the tasks (8 MB at most).
+BUCKET_ROWS, MOST_RANGES, MOST_IN_RANGE = 1000, 10_000, 100
 
 
 class Fingerprinter:
@@ -61,25 +62,38 @@ class Fingerprinter:
 def neighbours(docs: DataFrame) -> DataFrame:
     """Rows (bucket, guest, doc_id, text): each bucket holds a range of ids and, as its last row, the next bucket's first one as a guest.
 
-    The bounds are quantiles of doc_id (ids of the table itself), so that every bucket's first row is known by
-    its id; the whole text is shuffled once and nothing is sorted in one task.
-    """
+    The bounds are quantiles of doc_id (ids of the table itself), of the table and then within each range, so that every bucket's first row is
+    known by its id; the whole text is shuffled once and nothing is sorted in one task. Some 10**9 rows have buckets of
+    BUCKET_ROWS; beyond, buckets grow, but they are sorted with spilling and read as streams."""
     at = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.count("doc_id").alias("known")).first()
-    buckets = max(1, min(MOST_BUCKETS, at["n"] // BUCKET_ROWS))
+    ranges = max(1, min(MOST_RANGES, at["n"] // BUCKET_ROWS))
+    within = min(MOST_IN_RANGE, at["n"] // (ranges * BUCKET_ROWS))
+    shares = lambda k: F.array(*[F.lit(i / k) for i in range(1, k)])
     bounds: list[int] = []
-    if buckets > 1 and at["known"]:
-        share = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        found = docs.agg(F.percentile_approx("doc_id", share, F.lit(max(10_000, 10 * buckets))).alias("q")).first()["q"]
+    if ranges > 1 and at["known"]:
+        found = docs.agg(F.percentile_approx("doc_id", shares(ranges), F.lit(max(10_000, 10 * ranges))).alias("q")).first()["q"]
         bounds = sorted({x for x in found if x != at["low"] or at["known"] < at["n"]})
-    bucket = rank_in(bounds, F.col("doc_id"))
-    fine = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    rows = docs.select("doc_id", "text").withColumn("bucket", bucket.cast("int"))
+    known = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("range", rank_in(bounds, F.col("doc_id")).cast("int"))
+    number, opens, last = F.col("range"), F.array_contains(known, F.col("doc_id")), len(bounds)
+    if within > 1 and at["known"]:
+        inner = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").withColumn("range", rank_in(bounds, F.col("doc_id")).cast("int"))
+        got = {r["range"]: r["q"] for r in inner.groupBy("range").agg(F.percentile_approx("doc_id", shares(within), F.lit(10 * within)).alias("q")).collect()}
+        table_, offset = [], 0
+        for r in range(len(bounds) + 1):
+            least = bounds[r - 1] if r else None if at["known"] < at["n"] else at["low"]
+            cuts = sorted({x for x in got.get(r, ()) if x != least})
+            table_.append((r, offset, cuts))
+            offset += len(cuts) + 1
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(table_, "range int, offset int, cuts array<bigint>")), "range")
+        below = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda b: b <= F.col("doc_id"))))
+        number, opens, last = F.col("offset") + below, opens | F.array_contains("cuts", F.col("doc_id")), offset - 1
+    rows = rows.withColumn("bucket", number.cast("int"))
     first = F.col("doc_id").isNull() if at["known"] < at["n"] else F.col("doc_id") == F.lit(at["low"])
-    guest = F.when(F.array_contains(fine, F.col("doc_id")), F.array(F.col("bucket") - 1)) if bounds else F.lit(None).cast("array<int>")
-    last = F.when(F.coalesce(first, F.lit(False)), F.array(F.lit(len(bounds))))
-    own = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")))
-    as_guest = lambda c: F.coalesce(F.transform(c, lambda b: F.struct(b.alias("b"), F.lit(True).alias("g"))), F.array().cast("array<struct<b:int,g:boolean>>"))
-    return rows.select("doc_id", "text", F.explode(F.concat(own, as_guest(guest), as_guest(last))).alias("p")).select(F.col("p.b").alias("bucket"), F.col("p.g").alias("guest"), "doc_id", "text")
+    place = lambda b, guest: F.struct(b.cast("int").alias("b"), F.lit(guest).alias("g"))
+    some = lambda on, b: F.when(F.coalesce(on, F.lit(False)), F.array(place(b, True))).otherwise(F.array().cast("array<struct<b:int,g:boolean>>"))
+    places = F.concat(F.array(place(F.col("bucket"), False)), some(opens, F.col("bucket") - 1), some(first, F.lit(last)))
+    return rows.select("doc_id", "text", F.explode(places).alias("p")).select(F.col("p.b").alias("bucket"), F.col("p.g").alias("guest"), "doc_id", "text")
 
 
 def compare_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFrame:

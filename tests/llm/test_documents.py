@@ -55,6 +55,13 @@ def test_fingerprints_across_buckets_and_edges(spark, monkeypatch):
     one = sorted(map(str, rows(fingerprint.compare_with_next(edge(spark)))))
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 3)
     assert sorted(map(str, rows(fingerprint.compare_with_next(edge(spark))))) == one
+    monkeypatch.setattr(fingerprint, "MOST_RANGES", 2)
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 2)
+    assert sorted(map(str, rows(fingerprint.compare_with_next(edge(spark))))) == one
+    without = edge(spark).where("doc_id is not null")
+    got = sorted(map(str, rows(fingerprint.compare_with_next(without))))
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 1000)
+    assert got == sorted(map(str, rows(fingerprint.compare_with_next(without))))
     assert len(one) == len(edge_rows())
     assert not rows(fingerprint.compare_with_next(empty(spark)))
 
