@@ -151,10 +151,17 @@ class Identifier:
         fit = {k: [t for i, t in enumerate(v) if i % FOLDS] if len(v) >= FOLDS else v for k, v in samples.items()}
         alphabet = len(set().union(*(set(t.lower()) for k in self.langs for t in samples[k]))) + 1
         self.models = [KneserNey(fit[k], alphabet) for k in self.langs]
-        codes, doc = normalised([t for k in self.langs for t in fit[k]])
-        gram, at = grams(codes, doc)
-        keys, place = np.unique(gram[ORDER], return_index=True)
-        gram, context = [g[place] for g in gram], [c[place] for c in contexts(codes, at)]
+        # The types of all languages, language by language: each with the n-grams and contexts of one of its places.
+        parts = []
+        for k in self.langs:
+            codes, doc = normalised(fit[k])
+            gram, at = grams(codes, doc)
+            _, place = np.unique(gram[ORDER], return_index=True)
+            parts.append([x[place] for x in gram + contexts(codes, at)])
+        every = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        keys, place = np.unique(every[ORDER], return_index=True)
+        every = [x[place] for x in every]
+        gram, context = every[: ORDER + 1], every[ORDER + 1 :]
         self.table = V.SortedHashes(keys)
         self.columns = np.stack([m.score(gram, context) for m in self.models], axis=1).astype(np.float32)
         self.calibrate(held)
@@ -216,7 +223,11 @@ class Identifier:
         return h[np.arange(len(best)), best] - self.mean[best], n
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(documents x languages nats per character, characters). The whole texts are scored."""
+        """(documents x languages nats per character, characters). The whole texts are scored, in lots of bounded size."""
+        lots = [self._entropies(texts[a:b]) for a, b in V.spans([len(t) for t in texts], 1 << 18)]
+        return tuple(map(np.concatenate, zip(*lots, strict=True))) if lots else (np.zeros((0, len(self.langs))), np.zeros(0, np.int64))
+
+    def _entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, doc = normalised(texts)
         gram, at = grams(codes, doc)
         pos, found = self.table.find(gram[ORDER])
