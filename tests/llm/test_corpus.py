@@ -14,7 +14,7 @@ import corpus_pipeline
 from lodestone.llm import jaccard, suffixes, urlfilter
 
 from .cases import edge, edge_rows, empty, words
-from .test_documents import rows, shingle_set
+from .test_documents import check_pieces, line_dedup_model, rows, shingle_set
 from .test_documents import jaccard as similarity
 
 
@@ -280,6 +280,36 @@ def test_pipeline_stages(spark, sf):
     assert counts[0] >= 0.97 * 200 and counts[1] == counts[0] and counts[2] < counts[1] and counts[4] > 0
 
 
+def test_pipeline_equals_plain_stages(spark, sf):
+    """Each stage against a plain version of it on what the stage before kept: language by the model's own predictions, lines and near copies by
+    brute force, the mix by its targets, the pieces by the tokenizers library."""
+    from lodestone.llm import language, mixing
+
+    by_name, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet")
+    before = rows(docs)
+    model = language.fitted(docs, F.lit(True))
+    judged = [bool(r["text"]) and any(map(str.isalpha, r["text"])) and not model.predict([r["text"]])[3][0] for r in before]
+    docs = spark.createDataFrame(by_name["language"](spark, docs, sf).collect(), docs.schema)
+    assert sorted(map(str, rows(docs))) == sorted(str(r) for r, ok in zip(before, judged, strict=True) if ok)
+    want = line_dedup_model(sorted((r["doc_id"], r["text"]) for r in rows(docs)))
+    docs = spark.createDataFrame(by_name["line_dedup"](spark, docs, sf).collect(), docs.schema)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in rows(docs)} == {k: (v[2], len(v[2])) for k, v in want.items()}
+    groups = groups_model([(r["doc_id"], r["text"]) for r in rows(docs)])
+    stay = spark.createDataFrame(by_name["near_duplicates"](spark, docs, sf).collect(), docs.schema)
+    assert sorted(r["doc_id"] for r in rows(stay)) == sorted(k for k, g in groups.items() if g[0] == k)
+    count = lambda found, by: Counter({x: sum(len((r["text"] or "").split()) for r in found if r["source"] == x) for x in by})
+    sources = sorted({r["source"] for r in rows(stay)})
+    sizes = count(rows(stay), sources)
+    goal = dict(zip(sources, mixing.targets([sizes[x] for x in sources]), strict=True))
+    mixed = spark.createDataFrame(by_name["mixing"](spark, stay, sf).collect(), docs.schema)
+    taken, texts = count(rows(mixed), sources), {r["doc_id"]: r["text"] for r in rows(stay)}
+    assert all(abs(taken[x] - goal[x]) <= 0.01 * goal[x] + 3 for x in sources)
+    assert all(texts[r["doc_id"]].startswith(r["text"]) for r in rows(mixed))
+    once = mixed.dropDuplicates(["doc_id"])
+    held = [(r["doc_id"], r["text"]) for r in rows(once)]
+    check_pieces(rows(by_name["packing"](spark, spark.createDataFrame([next(r for r in rows(once) if r["doc_id"] == i) for i, _ in held], docs.schema), sf)), held)
+
+
 def test_pipeline_on_edges(spark):
     """Each stage on nulls, empty and long texts, ties, repeats and clashing columns, and on an empty table."""
     want = {
