@@ -57,7 +57,8 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
                     new = pd.DataFrame({"query": names[q], key: part[key].to_numpy()[at], "score": score[q, at]})
                     best = pd.concat([best, new]) if len(best) else new
                     best = best.sort_values(["query", "score", key], ascending=[True, False, True]).groupby("query", sort=False).head(k)
-            yield best
+            # Plain objects: joined columns of strings come in chunks, which aren't taken as one array.
+            yield best.assign(**{key: pd.Series(best[key].to_numpy(), best.index, object)})
 
         out.append(vectors.select(key, vector).mapInPandas(run, f"query long, {key} {kind}, score double"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))

@@ -155,6 +155,24 @@ def test_path_search_equals_a_search_of_the_whole_graph(spark, sf):
         assert [k[:2] for k in got] == [k[:2] for k in want] and list(got.values()) == list(want.values())
 
 
+def test_top_k_each_in_blocks_of_queries_and_batches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    held = [(f"id{i:03d}", [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(300)]
+    asked = [(q, [float(x) for x in rng.integers(-3, 4, 4)]) for q in range(7)] + [(7, [0.0] * 4)]
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 64)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        frame = spark.createDataFrame(held, "id string, vector array<double>").repartition(2)
+        got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in vectors.top_k_each(frame, spark.createDataFrame(asked, "query long, qv array<double>"), 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for q, v in asked:
+        unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-300)
+        want = sorted((-round(float(unit(v) @ unit(x)), 6) + 0.0, i) for i, x in held)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s + 0.0) for s, i in want]
+
+
 def test_nearest_rank_of_large_groups(spark, monkeypatch):
     from lodestone.operators import evaluation
 
