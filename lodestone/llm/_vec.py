@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES, CHUNK_DOCS = 1 << 21, 2000
+CHUNK_BYTES, CHUNK_DOCS = 1 << 19, 2000
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
