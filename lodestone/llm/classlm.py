@@ -65,41 +65,32 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list
 def word_counts(texts: DataFrame) -> DataFrame:
     """(h, signature, n): all tokens of a one-column frame of binary texts, added up before they are shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            k, c = V.counted(np.concatenate(keys), np.concatenate(counts))
-            signature = signs.find(k)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(signature), pa.array(c)], ["h", "signature", "n"])
-
-        class Signs:  # the signature belongs to the word: kept beside its hash
-            def __init__(self):
-                self.k, self.s = np.empty(0, U), np.empty(0, np.int32)
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        k, s, c = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(k, kind="stable")
+        k, s, c = k[order], s[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        return k[first], s[first], np.add.reduceat(c, first)  # the signature belongs to the word
 
-            def add(self, k, s):
-                k, at = np.unique(np.concatenate([self.k, k]), return_index=True)
-                self.k, self.s = k, np.concatenate([self.s, s])[at]
+    def flushed(k: np.ndarray, s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s), pa.array(c)], ["h", "signature", "n"])
 
-            def find(self, k):
-                return self.s[np.searchsorted(self.k, k)]
-
-        signs = Signs()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for _, _, part in _pieces(batch, 0):
                 h, s, _ = tokens(part)
                 k, at, c = np.unique(h, return_index=True, return_counts=True)
-                signs.add(k, s[at])
-                keys.append(k), counts.append(c.astype(np.int64))
+                parts.append((k, s[at], c.astype(np.int64)))
                 held += len(k)
                 if held > 2 * KEEP:
-                    k, c = V.counted(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, held = [k], [c], len(k)
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
                     if held > KEEP:
-                        yield flush()
-                        keys, counts, held, signs = [], [], 0, Signs()
-        if keys:
-            yield flush()
+                        yield flushed(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield flushed(*merged(parts))
 
     got = texts.mapInArrow(V.released(run), "h long, signature int, n long")
     return got.groupBy("h").agg(F.first("signature").alias("signature"), F.sum("n").alias("n"))
