@@ -242,9 +242,7 @@ def path_normalize(spark, sf_dir):
 
 @query(f"SELECT DISTINCT o.case_id, o.file FROM (SELECT * FROM {C.ORACLE}) o JOIN (SELECT * FROM {C.RETRIEVED}) r ON o.case_id = r.case_id AND (o.file = r.file OR ends_with(o.file, '/' || r.file) OR ends_with(r.file, '/' || o.file))")
 def path_suffix_join(spark, sf_dir):
-    o, r = values(spark, sf_dir, C.ORACLE), values(spark, sf_dir, C.RETRIEVED).withColumnsRenamed({"case_id": "c", "file": "got"})
-    last = lambda x: F.regexp_extract(x, r"([^/]+)$", 1)
-    return o.join(r, (o["case_id"] == r["c"]) & (last(o["file"]) == last(r["got"])) & T.path_matches(o["file"], r["got"]), "left_semi")
+    return evaluation.matched(values(spark, sf_dir, C.ORACLE), values(spark, sf_dir, C.RETRIEVED)).select("case_id", "file")
 
 
 @query(f"WITH m AS (SELECT DISTINCT o.case_id, o.file FROM (SELECT * FROM {C.ORACLE}) o JOIN (SELECT * FROM {C.RETRIEVED}) r ON o.case_id = r.case_id AND (o.file = r.file OR ends_with(o.file, '/' || r.file) OR ends_with(r.file, '/' || o.file))) SELECT o.case_id, round(count(m.file) / count(*), 6) AS recall, count(m.file) > 0 AS hit FROM (SELECT * FROM {C.ORACLE}) o LEFT JOIN m ON o.case_id = m.case_id AND o.file = m.file GROUP BY 1")

@@ -291,3 +291,16 @@ def test_needles_phases():
     assert T.needles(many) == [f"Name{i}x" for i in range(20)]
     assert T.needles("why is it slow today") == ["today"] and T.needles("  ") == []
     assert T.needles("the Description of Foo_Bar foo_bar FOO_BAR") == ["Foo_Bar"]
+
+
+@pytest.mark.parametrize("name", ["path_suffix_join", "recall_at_k"])
+def test_repeated_oracle_files_equal_sql(spark, sf, tmp_path, name):
+    """The same file several times in a case, some of it matched and some not."""
+    for t in os.listdir(sf):
+        if t != "pages.parquet":
+            os.symlink(os.path.join(sf, t), tmp_path / t)
+    urls = ["http://a.com/x/1", "http://a.com/x/2", "http://a.com/y/2", "http://a.com/x/1", "http://b.com/z/", None, "no scheme"]
+    rows = [(3 + 97 * 3 * i, urls[0]) for i in range(5)] + [(100 + 97 * 3 * i, urls[1]) for i in range(3)] + [(5 + 97 * 3 * i, u) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    got, want = both(spark, str(tmp_path), registered.QUERIES[name], registered.ORACLES[name])
+    assert got == want
