@@ -10,6 +10,7 @@ from .functions.vectors import half_vector
 from .operators import evaluation, formatting, graph, parse, paths, vectors
 from .plans import corpus as C
 from .plans.corpus import GRAPH_SQL, table, values
+from .plans.staging import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -139,7 +140,9 @@ def graph_khop(spark, sf_dir):
 
 
 def _path_inputs(spark, sf_dir, queries: list[str]):
-    _, n, e = _graph(spark, sf_dir)
+    s = cut(C.symbols(spark, sf_dir))
+    n = cut(graph.nodes(s).drop("calls"))
+    e = graph.call_edges(s, n).unionByName(graph.containment_edges(s, n))
     nodes_ = vectors.embedded(n.select("id", F.concat_ws(" ", "name", "body").alias("b")), "b")
     asked = vectors.embedded(spark.createDataFrame(list(enumerate(queries)), "query long, text string"), "text", "qv")
     return n, nodes_, e, asked
@@ -159,7 +162,8 @@ def path_search_teleport(spark, sf_dir):
 
 def _formatted(spark, sf_dir, how):
     n, nodes_, e, asked = _path_inputs(spark, sf_dir, ["return class it"])
-    found = paths.search(nodes_, e, asked, 2).join(parse.with_skeleton(n.select(F.col("id").alias("symbol_id"), "name", "file_path", "body")), "symbol_id").orderBy("path_rank", "pos").collect()
+    named = n.select(F.col("id").alias("symbol_id"), "name", "file_path", "body")
+    found = parse.with_skeleton(named.join(F.broadcast(cut(paths.search(nodes_, e, asked, 2))), "symbol_id")).orderBy("path_rank", "pos").collect()
     out: dict[int, dict] = {}
     for r in found:
         node = {"symbol_id": r["symbol_id"], "name": r["name"], "kind": "function", "file_path": r["file_path"], "line_range": (0, r["body"].count("\n")), "body": r["body"], "skeleton": r["skeleton"], "relevance": r["relevance"]}

@@ -377,3 +377,22 @@ def test_nodes_are_numbered_as_ids_sort(spark):
     no = {r["id"]: r["no"] for r in held.collect()}
     assert sorted(no, key=no.get) == sorted(ids) and len(set(no.values())) == len(ids)
     assert sorted(map(tuple, links.collect())) == sorted([(no["a"], no["b"]), (no["Z"], no["\uffee"])]) and {t for _, t in links.dtypes} == {"bigint"}
+
+
+def test_path_search_embeds_each_node_once(spark, tmp_path):
+    said = str(tmp_path / "said")
+
+    def provider():
+        def embed(texts):
+            with open(said, "a") as f:
+                f.write("".join(t + "\n" for t in texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return embed
+
+    nodes = spark.createDataFrame([(f"n{i}", "x" * (i + 1)) for i in range(40)], "id string, b string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 7 + 1) % 40}") for i in range(40)], "src string, dst string")
+    asked = spark.createDataFrame([(0, [1.0, 1.0])], "query long, qv array<double>")
+    assert paths.search(vectors.embedded(nodes, "b", provider=provider), edges, asked, 2).count() > 0
+    with open(said) as f:
+        assert len(f.readlines()) == 40
